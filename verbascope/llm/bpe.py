@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Cache
+
 END = "</w>"
 #: White space as the vocabulary's \s has it.
 WS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -29,7 +31,6 @@ _CHUNK = regex.compile(f"[^{WS}]+")
 _SAFE = regex.compile(r"[\x00-\u02ff\u4e00-\u9fff\uac00-\ud7a3]")
 BLOCK = 1 << 16
 LONG_CHUNK = 512
-CACHE = 150_000
 #: A merge's rank and the id that it makes, in one number.
 BITS = 24
 MASK, NONE = (1 << BITS) - 1, 1 << 62
@@ -124,24 +125,6 @@ class WordEncoder:
         return self.merges.word(rest) if rest else []
 
 
-class Cache(dict):
-    """Two generations of at most size entries each; what isn't found is made."""
-
-    def __init__(self, make: Callable, size: int = CACHE):
-        super().__init__()
-        self.make, self.size, self.old = make, size, {}
-
-    def __missing__(self, key):
-        value = self.old.pop(key, None)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class TextEncoder:
     """A text to ids: special tokens, normalisation (NFC, lower case), pieces, merges.
 
