@@ -1,8 +1,8 @@
 """The queries of this subpackage, by name, and their SQL."""
 
-from . import bpe, classifier, exact_dedup, mixing, quality_rules, url_filter
+from . import bpe, classifier, exact_dedup, mixing, quality_rules, simhash, url_filter
 
-_MODULES = (exact_dedup, mixing, url_filter, quality_rules, bpe, classifier)
+_MODULES = (exact_dedup, mixing, url_filter, quality_rules, bpe, simhash, classifier)
 
 
 def queries() -> dict:
