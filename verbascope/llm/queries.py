@@ -1,8 +1,8 @@
 """The queries of this subpackage, by name, and their SQL."""
 
-from . import bpe, classifier, exact_dedup, html_text, mixing, quality_rules, simhash, token_counts, url_filter
+from . import bpe, classifier, exact_dedup, html_text, katz, mixing, quality_rules, simhash, token_counts, url_filter
 
-_MODULES = (html_text, exact_dedup, mixing, url_filter, token_counts, quality_rules, bpe, simhash, classifier)
+_MODULES = (katz, html_text, exact_dedup, mixing, url_filter, token_counts, quality_rules, bpe, simhash, classifier)
 
 
 def queries() -> dict:
