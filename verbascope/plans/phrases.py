@@ -11,6 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.views import held, ngram_tokens
 from ..operators.lexicons import STOPWORDS
+from ..sources.tables import stored
 
 REUSE = "array<struct<phrase:string,count:int,n:int>>"
 _STOP = frozenset(STOPWORDS)
@@ -67,10 +68,12 @@ def repeated_phrases(df: DataFrame, id_col: str, text_col: str, min_n: int = 4,
         found = tokens.where(F.size("t") >= n).select("id", F.explode(F.transform(places, lambda i: F.struct(i.alias("pos"), F.slice("t", i, n).alias("g")))).alias("x"))
         return found.select("id", F.lit(n).alias("n"), "x.pos", "x.g")
 
+    tokens = stored(tokens, "tokens")  # read once for each length
     grams = reduce(DataFrame.unionAll, map(grams_of, range(min_n, max_n + 1)))
     stop = F.array(*map(F.lit, STOPWORDS))
     often = grams.groupBy("id", "n", "g").agg(F.count(F.lit(1)).cast("int").alias("count"), F.min("pos").alias("pos")).where(F.col("count") >= min_count)
     often = often.where(~F.forall("g", lambda w: F.array_contains(stop, w))).select("id", "n", "pos", "count", F.array_join("g", " ").alias("phrase"))
+    often = stored(often, "repeats")
     a, b = often.alias("a"), often.alias("b")
     earlier = (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.pos") < F.col("a.pos")))
     left = a.join(b, (F.col("a.id") == F.col("b.id")) & earlier & (F.col("b.count") >= F.col("a.count")) & F.contains(F.col("b.phrase"), F.col("a.phrase")), "left_anti")

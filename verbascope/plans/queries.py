@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lexicons as L
 from ..operators.rules import RULE_TYPES, KeywordBold, Rule
+from ..sources.tables import stored
 from . import analytics, phrases
 from .analysis import analyze, prepared, score
 
@@ -50,7 +51,8 @@ CORE = tuple(r for r in RULE_TYPES if r is not KeywordBold)
 
 
 def _core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(documents(spark, sf_dir).select("doc_id", "source", "text"), "text", [r() for r in CORE]).drop("text")
+    scored = score(documents(spark, sf_dir).select("doc_id", "source", "text"), "text", [r() for r in CORE])
+    return stored(scored.drop("text"), "scores")
 
 
 def core_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +72,7 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("role", "text")).groupBy("role").agg(F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("n"))
+    return stored(score(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("role", "text")).drop("text"), "roles").groupBy("role").agg(F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("n"))
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
