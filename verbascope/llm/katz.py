@@ -17,7 +17,6 @@ than one bucket, but for a few sums.
 
 from __future__ import annotations
 
-import gc
 import pickle
 from collections import Counter
 from dataclasses import dataclass
@@ -284,9 +283,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Katz
     row = "kind string, part long, bucket long, stat array<long>, data binary"
     counted = _token_blobs(docs, buckets, hot, id_col, text_col).groupBy("bucket").applyInArrow(count, row)
     table = stored(counted.groupBy("part").applyInArrow(whole, row), "katz", "kind")
-    del counted
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()  # the shuffles behind the table aren't needed again
     width = 2 + 2 * (K + 1) + len(hot)
     sums = table.where("kind = 'stat'").agg(*[F.sum(F.col("stat")[i]).alias(f"s{i}") for i in range(width)]).first()
     stat = [int(x or 0) for x in sums]
