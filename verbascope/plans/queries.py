@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,9 @@ from ..operators import lexicons as L
 from ..operators.rules import RULE_TYPES, KeywordBold, Rule
 from ..sources.tables import stored
 from . import analytics, phrases
+from ..functions.views import held
 from .analysis import analyze, prepared, score
+from .fit import fit
 
 #: Endings that make rules fire; document n gets number n modulo their count.
 SNIPPETS = (
@@ -95,6 +98,21 @@ def regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("n", *[F.round(c, 6).alias(c) for c in ("slope", "intercept", "correlation")])
 
 
+def fitted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settings learned from all labelled documents, those of quality 1 as positives: rule, place in the order, settings as JSON."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    rules = fit(documents(spark, sf_dir).join(labels, "doc_id"), "text", "label")
+    return spark.createDataFrame([(i, r.rule_type, json.dumps(r.config, sort_keys=True)) for i, r in enumerate(rules)], "place int, rule_type string, config string")
+
+
+def hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What penalties are learned from: by label, in how many documents a rule fires."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    r = RULE_TYPES[0]()
+    hits = prepared(documents(spark, sf_dir).join(labels, "doc_id"), "text", [r]).select("label", held(r.delta()).alias("hits"))
+    return hits.groupBy("label").agg(F.count_if(F.col("hits") > 0).alias("matched"), F.count(F.lit(1)).alias("total"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f"c{i + 1:02d}_{r.count_key}": _count_query(r) for i, r in enumerate(RULE_TYPES)}
     found |= {
@@ -104,6 +122,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "d08_scores": full_scores,
         "d15_payload": full_payload,
         "d15_violations": violations,
+        "e01_fit": fitted_rules,
+        "e10_hit_rates": hit_rates,
         "h03_band_counts": lambda s, d: analytics.band_counts(_core(s, d)),
         "h04_histogram": lambda s, d: analytics.histogram(_core(s, d)).select("bin_start", "bin_end", "n"),
         "h05_summary": lambda s, d: analytics.summary(_core(s, d).withColumn("score", F.col("score").cast("long"))),
@@ -224,6 +244,7 @@ def oracle_sql() -> dict[str, str]:
         "h05_summary": f"{s} SELECT count(*) AS n, round(avg(score), 3) AS mean, round(quantile_cont(score, 0.5), 3) AS median, min(score) AS min, max(score) AS max, round(quantile_cont(score, 0.1), 3) AS p10, round(quantile_cont(score, 0.25), 3) AS p25, round(quantile_cont(score, 0.75), 3) AS p75, round(quantile_cont(score, 0.9), 3) AS p90 FROM s",
         "h06_regression": f"{s} SELECT count(*) AS n, round(regr_slope(score, word_count), 6) AS slope, round(regr_intercept(score, word_count), 6) AS intercept, round(corr(word_count, score), 6) AS correlation FROM s",
         "h08_samples": f"{s} SELECT row_number() OVER (ORDER BY doc_id) AS index, doc_id, score, word_count, band FROM s ORDER BY doc_id LIMIT 25",
+        "e10_hit_rates": f"WITH {_D} SELECT l.quality AS label, count(*) FILTER (WHERE ({HITS['slop_words']}) > 0) AS matched, count(*) AS total FROM d JOIN labels l USING (doc_id) GROUP BY l.quality",
         "h09_mean_by_source": f"{s} SELECT source, round(avg(score), 6) AS mean_score FROM s GROUP BY source",
     }
     return found

@@ -20,7 +20,7 @@ def from_texts(spark: SparkSession, texts: list[str]) -> DataFrame:
 def text_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Whole files as documents: source, text. A file that isn't UTF-8 stops the query."""
     raw = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return raw.select(F.col("path").alias("source"), F.decode("content", F.lit("UTF-8")).alias("text"), F.is_valid_utf8(F.col("content").cast("string")).alias("_ok")).select(
+    return raw.select(F.col("path").alias("source"), F.decode("content", "UTF-8").alias("text"), F.is_valid_utf8(F.col("content").cast("string")).alias("_ok")).select(
         "source", F.when(F.col("_ok"), F.col("text")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), F.col("source")))).alias("text")
     )
 
