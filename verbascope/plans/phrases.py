@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,18 +56,19 @@ def may_repeat(tokens: Column, n: int, min_count: int) -> Column:
 def repeated_phrases(df: DataFrame, id_col: str, text_col: str, min_n: int = 4, max_n: int = 8, min_count: int = 3) -> DataFrame:
     """id, phrase, count, n, rank for each maximal repeat: explode, count, self anti-join, rank.
 
-    A gram of n words can only repeat where its first n - 1 do, so each length starts from the places that the one before
-    has left, and hardly any row is left after the first.
+    A sequence can only repeat where its first min_n words do, so hashes of those leave few places for the longer ones.
     """
-    tokens = df.select(F.col(id_col).alias("id"), held(ngram_tokens(F.col(text_col))).alias("t")).where(may_repeat(F.col("t"), min_n, min_count))
+    tokens = df.select(F.col(id_col).alias("id"), held(ngram_tokens(F.col(text_col))).alias("t"))
+    tokens = stored(tokens, "tokens").where(may_repeat(F.col("t"), min_n, min_count))  # a filter over a stored column can't be rewritten in terms of texts
+    hashes = F.transform(F.sequence(F.lit(0), F.size("t") - min_n), lambda i: F.xxhash64(F.array_join(F.slice("t", i + 1, min_n), " ")))
+    places = tokens.select("id", F.posexplode(hashes).alias("p", "h"))
+    often_at = places.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("id", "h"))).where(F.col("c") >= min_count)
+    at = stored(often_at.groupBy("id").agg(F.collect_list("p").alias("at")), "places")  # no more than a text's own words
 
-    def grams_of(n: int) -> DataFrame:
-        places = F.sequence(F.lit(1), F.size("t") - (n - 1))
-        found = tokens.where(F.size("t") >= n).select("id", F.explode(F.transform(places, lambda i: F.struct(i.alias("pos"), F.slice("t", i, n).alias("g")))).alias("x"))
-        return found.select("id", F.lit(n).alias("n"), "x.pos", "x.g")
+    def grams_of(n: int) -> Column:
+        return F.transform(F.filter("at", lambda p: p + n <= F.size("t")), lambda p: F.struct(F.lit(n).alias("n"), (p + 1).alias("pos"), F.slice("t", p + 1, n).alias("g")))
 
-    tokens = stored(tokens, "tokens")  # read once for each length
-    grams = reduce(DataFrame.unionAll, map(grams_of, range(min_n, max_n + 1)))
+    grams = tokens.join(at, "id").select("id", F.explode(F.concat(*map(grams_of, range(min_n, max_n + 1)))).alias("x")).select("id", "x.n", "x.pos", "x.g")
     stop = F.array(*map(F.lit, STOPWORDS))
     often = grams.groupBy("id", "n", "g").agg(F.count(F.lit(1)).cast("int").alias("count"), F.min("pos").alias("pos")).where(F.col("count") >= min_count)
     often = often.where(~F.forall("g", lambda w: F.array_contains(stop, w))).select("id", "n", "pos", "count", F.array_join("g", " ").alias("phrase"))
