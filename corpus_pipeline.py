@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbascope.llm import bpe, classifier, exact_dedup, mixing, simhash
+from verbascope.llm import bpe, classifier, exact_dedup, mixing, near_copies
 from verbascope.llm.common import stored
 
 
@@ -20,8 +20,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints the row with the smallest id stays."""
-    return simhash.one_of_each(docs)
+    """Of texts linked by a similarity of 0.8 or more over five-word shingles the row with the smallest id stays."""
+    return near_copies.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -351,3 +351,57 @@ def test_pipeline_stages(spark):
     assert len(texts) == len(set(texts)) and sizes[0] > sizes[1] >= sizes[2] >= sizes[3]
     assert at.groupBy("doc_id").count().where(F.col("count") > 3).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, at, path).count() == at.count()
+
+
+def plain_sets(text, k=5):
+    w = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").translate(AZ).encode())
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
+
+
+def plain_near(rows):
+    """Component of each (id, text), over all pairs with a similarity of 0.8 or more."""
+    sets = [plain_sets(t) for _, t in rows]
+    return plain_components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))])
+
+
+def near_rows():
+    """Copies with one to four changed words, some on the edge of 0.8; a crowd of copies of copies; a passage that many texts share; short, empty, repeated and null rows."""
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+    out, passage = [], text(30)
+    for _ in range(40):
+        base = text(rng.randint(20, 120))
+        out.append(base)
+        for _ in range(rng.randint(0, 2)):
+            copy = list(base)
+            for _ in range(rng.randint(1, 4)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 5000)}"
+            out.append(copy)
+    chain = text(80)
+    for i in range(30):
+        chain = list(chain)
+        chain[rng.randrange(80)] = f"y{i}"
+        out.append(chain)
+    out += [text(rng.randint(1, 20)) + passage for _ in range(60)]
+    out += [["A"], ["a"], ["a", "b", "c", "d"], [], [" "]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(out)]
+    rng.shuffle(rows)
+    return rows + [rows[0], (None, None), (None, rows[1][1]), (rows[2][0], "other words under an id that repeats"), (None, "no id here at all, not once"), (None, "no id here at all, not once")]
+
+
+def test_near_copies_finds_every_pair(spark):
+    from verbascope.llm import near_copies
+
+    rows = near_rows()
+    groups = defaultdict(list)
+    for (i, t), c in zip(rows, plain_near(rows), strict=True):
+        groups[c].append((i, t))
+    assert len(groups) < len(rows) - 40
+    got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    left = Counter()
+    for r in got:
+        c = next(c for c, g in groups.items() if (r.doc_id, r.text) in g)
+        left[c] += 1
+        assert r.doc_id == min((i for i, _ in groups[c] if i is not None), default=None)
+    assert left == Counter(dict.fromkeys(groups, 1))
+    assert near_copies.one_of_each(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -68,6 +68,15 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The column of numbered().
+ROW = "__row_number"
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number of its own for each row, stored, so that it stays the same wherever it is read."""
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 class Cache(dict):
     """Two generations of at most size entries each; what isn't found is made."""
 
