@@ -405,3 +405,15 @@ def test_near_copies_finds_every_pair(spark):
         assert r.doc_id == min((i for i, _ in groups[c] if i is not None), default=None)
     assert left == Counter(dict.fromkeys(groups, 1))
     assert near_copies.one_of_each(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_mixed_documents_are_what_the_mix_takes(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, i % 25, i]), f"t{i} " * rng.randint(0, 30), rng.choice(["a", "b", "b", "b", None])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = Counter(), Counter()
+    for r in mixing.mix(df).where("taken > 0").collect():
+        want[r.doc_id, r.size] += r.taken // r.size
+    for r in mixing.mixed_documents(df).collect():
+        got[r.doc_id, len(words(r.text))] += 1
+    assert got == want and any(i is None for i, _ in want)

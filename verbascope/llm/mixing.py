@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, text_or_empty
+from .common import ROW, WORD, numbered, stored, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 PASSES = 3
@@ -54,7 +54,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shuffle key go by id; rows that repeat an id and source are ordered among themselves by size, and equal ones share
     one place in the order, so that reruns agree. An empty table gives no rows; other columns are ignored.
     """
-    sized = stored(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_size(text_col).alias("_size")), "mix-sizes")
+    return _mix(docs, id_col, text_col, source_col, weights, passes, share, seed, []).withColumnRenamed("_id", id_col)
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], passes: int, share: float, seed: str, also: list[str]) -> DataFrame:
+    """The plan, with the id as _id and the columns of docs that also names."""
+    sized = stored(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_size(text_col).alias("_size"), *also), "mix-sizes")
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
     sources = [(r[0], r[1]) for r in sized.groupBy("_source").agg(F.sum("_size")).collect()]
     plan = fair_targets(sources, weights, passes, share)
@@ -69,12 +74,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     before = slice_sums.select(F.col("_rank").alias("_r"), F.col("_slice").alias("_l"), (F.sum("_n").over(Window.partitionBy("_rank").orderBy("_slice")) - F.col("_n")).alias("_before"))
     inside = Window.partitionBy("_rank", "_slice").orderBy("_key", "_id", "_size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     queued = queued.withColumn("_cum", F.sum("_size").over(inside)).join(before, (F.col("_rank") == F.col("_r")) & (F.col("_slice") == F.col("_l")))
-    queued = stored(queued.select("_id", "_size", "_total", "_w", "_target", "_rank", "_key", (F.col("_before") + F.col("_cum")).alias("_end")), "mix-queues")
+    queued = stored(queued.select("_id", "_size", "_total", "_w", "_target", "_rank", "_key", (F.col("_before") + F.col("_cum")).alias("_end"), *also), "mix-queues")
     budget = sum(n for _, n in sources) if share == 1.0 else int(sum(n for _, n in sources) * share)
     cut = _cut(queued, budget, passes, plan, rows)
     taken = sum((F.when(_in_mix(p, cut), 1).otherwise(0) for p in range(passes)), F.lit(0))
     return queued.select(
-        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * taken).cast("long").alias("taken"), _finish(0).alias("virtual_finish")
+        "_id", F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * taken).cast("long").alias("taken"), _finish(0).alias("virtual_finish"), *also
     )
 
 
@@ -115,10 +120,11 @@ def _cut(queued: DataFrame, budget: int, passes: int, plan: dict, rows: int) ->
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: each document as many times as it is taken, with the columns of docs, in no order. Documents without words are part of no queue and go."""
-    plan = mix(docs, id_col).where("taken > 0").select(F.col(id_col).alias("__mix_id"), F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int")).alias("__mix_copies")).distinct()
-    joined = docs.join(plan, F.col(id_col) == F.col("__mix_id"))
-    return joined.select(*docs.columns, F.explode("__mix_copies").alias("__mix_copy")).drop("__mix_copy")
+    """The mix itself: each row as many times as it is taken, with the columns of docs, in no order. Ids may repeat or be null: rows have a number of their own. Rows without words are part of no queue and go."""
+    rows = numbered(docs, "mix-rows")
+    plan = _mix(rows, id_col, "text", "source", WEIGHTS, PASSES, 1.0, SEED, [ROW]).where("taken > 0")
+    plan = plan.select(F.col(ROW), F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int")).alias("__mix_copies"))
+    return rows.join(plan, ROW).select(*docs.columns, F.explode("__mix_copies").alias("__mix_copy")).drop("__mix_copy")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
