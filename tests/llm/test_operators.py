@@ -417,3 +417,11 @@ def test_mixed_documents_are_what_the_mix_takes(spark):
     for r in mixing.mixed_documents(df).collect():
         got[r.doc_id, len(words(r.text))] += 1
     assert got == want and any(i is None for i, _ in want)
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    a, near, b = " ".join(f"w{i}" for i in range(400)), " ".join(f"w{i}" for i in range(401)), "quite another text with words of its own"
+    assert (plain_fingerprint(a) ^ plain_fingerprint(near)).bit_count() <= 2 < (plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count()
+    kept = lambda f, rows: sorted(map(tuple, f(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept(exact_dedup.keep_one, [(1, "a"), (2, "a"), (1, "b"), (1, "b"), (None, "A"), (None, "c"), (None, "c")]) == [(1, "b"), (2, "a"), (None, "c")]
+    assert kept(simhash.one_of_each, [(0, near), (1, a), (1, b), (1, b), (None, "no id"), (None, "no id"), (None, b)]) == [(0, near), (1, b), (None, "no id")]

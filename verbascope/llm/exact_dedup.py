@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_az, stored, text_or_empty
+from .common import ROW, lower_az, numbered, stored, text_or_empty
 
 SALTS = 16
 
@@ -25,22 +25,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in group_size. An empty table gives no rows; other columns, whatever their names, are ignored.
     Two texts with one SHA-256 digest would stop the query instead of merging.
     """
-    keyed = docs.select(F.col(id_col).alias("_id"), lower_az(text_or_empty(text_col)).alias("_text")).select("_id", "_text", F.unhex(F.sha2("_text", 256)).alias("_digest"))
+    return _marked(docs, id_col, text_col, salts, []).select(
+        F.col("_id").alias(id_col), "keep_id", F.col("group_size").cast("long"), F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256")
+    )
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, salts: int, also: list[str]) -> DataFrame:
+    """_id, _digest, keep_id and group_size of each row, and the columns of docs that also names."""
+    keyed = docs.select(F.col(id_col).alias("_id"), lower_az(text_or_empty(text_col)).alias("_text"), *also).select("_id", "_text", F.unhex(F.sha2("_text", 256)).alias("_digest"), *also)
     salted = keyed.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("_salt", "_digest", "_text").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     texts = salted.groupBy("_digest", "_text").agg(F.max("_keep").alias("_keep"), F.sum("_n").alias("_n"))
     winners = texts.groupBy("_digest").agg(F.max("_keep").alias("keep_id"), F.max("_n").alias("group_size"), F.count(F.lit(1)).alias("_texts"))
     one = F.when(F.col("_texts") == 1, F.col("_digest")).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("binary"))
     winners = stored(winners.select(one.alias("_digest"), "keep_id", "group_size"), "exact-dedup")
-    marked = keyed.select("_id", "_digest").join(winners, "_digest")
-    return marked.select(
-        F.col("_id").alias(id_col), "keep_id", F.col("group_size").cast("long"), F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256")
-    )
+    return keyed.select("_id", "_digest", *also).join(winners, "_digest")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns. Only one row per winning id is added to the join, so it can't multiply rows."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__keep_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__keep_id")), "left_semi")
+    """One row of each group of equal texts, with all columns of docs: that with the largest id, a null id only where all are; of rows that repeat id and text the first by a stored number."""
+    rows = numbered(docs, "exact-dedup-rows")
+    winners = _marked(rows, id_col, text_col, SALTS, [ROW]).where(F.col("_id").eqNullSafe(F.col("keep_id")))
+    return rows.join(winners.groupBy("_digest").agg(F.min(ROW).alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, stored
+from .common import LOWER, ROW, UPPER, numbered, stored
 from .components import components
 
 SHINGLE, RADIUS = 3, 2
@@ -188,18 +188,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives no rows; other columns are ignored.
     """
     fps = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    distinct = stored(fps.groupBy("fp").agg(F.min("id").cast("long").alias("rep")), "simhash-distinct")
-    usable = distinct.where("rep is not null")
-    n = usable.count()
-    sample = np.array([r[0] for r in usable.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
-    nodes = build_tree(sample, -(-n // SHARD))
-    edges = components(_shard_edges(usable, nodes, radius))
-    heads = distinct.join(edges, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    heads = stored(heads, "simhash-heads")
+    heads = stored(_groups(fps, radius).select(F.col("fp").alias("_fp"), "component_id"), "simhash-heads")
     out = fps.join(heads, F.col("fp") == F.col("_fp"))
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _groups(fps: DataFrame, radius: int) -> DataFrame:
+    """fp, component, component_id of each fingerprint. Fingerprints themselves are the nodes, as ids may repeat or be null; component is the smallest one of the group."""
+    distinct = stored(fps.groupBy("fp").agg(F.min("id").cast("long").alias("rep")), "simhash-distinct")
+    n = distinct.count()
+    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
+    nodes = build_tree(sample, -(-n // SHARD))
+    edges = components(_shard_edges(distinct.select("fp", F.col("fp").alias("rep")), nodes, radius))
+    heads = stored(distinct.join(edges, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "simhash-groups")
+    return heads.select("fp", "component").join(heads.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
+
+
 def _shard_edges(usable: DataFrame, nodes: list, radius: int) -> DataFrame:
     def assign(batches):
         import pyarrow as pa
@@ -227,9 +231,12 @@ def _shard_edges(usable: DataFrame, nodes: list, radius: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their group's smallest, with all their columns, and the rows without id that have no group."""
-    heads = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__head")).distinct()
-    return docs.join(heads, F.col(id_col).eqNullSafe(F.col("__head")), "left_semi")
+    """One row of each group, with all columns of docs: that with the smallest id, a null id only where all are; of rows that share it the first by a stored number."""
+    rows = numbered(docs, "simhash-rows")
+    read = fingerprints(rows, ROW, text_col).withColumnRenamed("id", "row")
+    fps = stored(read.join(rows.select(F.col(ROW).alias("row"), F.col(id_col).alias("id")), "row"), "simhash")
+    best = fps.join(_groups(fps, RADIUS), "fp").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
+    return rows.join(best.select(F.col("best.row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
