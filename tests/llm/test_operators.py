@@ -425,3 +425,12 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
     kept = lambda f, rows: sorted(map(tuple, f(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert kept(exact_dedup.keep_one, [(1, "a"), (2, "a"), (1, "b"), (1, "b"), (None, "A"), (None, "c"), (None, "c")]) == [(1, "b"), (2, "a"), (None, "c")]
     assert kept(simhash.one_of_each, [(0, near), (1, a), (1, b), (1, b), (None, "no id"), (None, "no id"), (None, b)]) == [(0, near), (1, b), (None, "no id")]
+
+
+def test_html_stray_quotes_and_form_text():
+    show = html_text.extract
+    assert show('<p class="a"">Hello world</p><p class="b">More text</p><p>end</p>') == "Hello world\n\nMore text\n\nend"
+    assert show("<div data-n=5'>one two three</div><p four>five</p>") == "one two three\n\nfive"
+    assert show("<p title='a > b' x = \"c > d\" y=>shown</p>") == "shown"
+    assert show("<head><title>t</title>Hello") == "Hello"
+    assert show("<textarea>in a field</textarea> <select><option>one<option>two</select> <svg><text>drawn</text></svg> <math><mi>x</mi></math>").split() == "in a field one two drawn x".split()

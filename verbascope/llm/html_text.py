@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE = frozenset("title textarea".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title textarea select".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption optgroup option".split())
 #: A blank line stands before and after these.
 APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
@@ -38,7 +38,8 @@ ENDS = {
 SCOPE = frozenset("table td th caption html".split())
 TABLE_SCOPE = frozenset({"table", "html"})
 TABLE_PARTS = frozenset("table caption thead tbody tfoot tr td th".split())
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+#: A quote opens a value right after = only; elsewhere it is a character like others.
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:=[ \t\n\r\f]*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*+|(?=>|\Z))|[^>=])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 _NONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -78,14 +79,19 @@ def parse(source: str) -> Node:
             pop()
         return True
 
+    def show(text: str) -> None:
+        if stack[-1].tag == "head" and not text.isspace():
+            pop()
+        stack[-1].children.append(html.unescape(text))
+
     at, n = 0, len(source)
     while at < n:
         m = _TOKEN.search(source, at)
         if m is None:
-            stack[-1].children.append(html.unescape(source[at:]))
+            show(source[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(source[at : m.start()]))
+            show(source[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
