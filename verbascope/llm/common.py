@@ -68,6 +68,27 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_buckets(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+    """Like stored(), with rows of one key in one file: joins and groups on it don't shuffle the table again."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", f"{shared_folder(spark)}/{table}").option("compression", "zstd").saveAsTable(table)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.table(table)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: The column of numbered().
 ROW = "__row_number"
 

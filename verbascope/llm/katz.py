@@ -8,11 +8,15 @@
 d are Good-Turing discounts; alpha(h) is what the seen pairs of h leave, over what their words leave in P, so that each
 history sums to one exactly. A history of which no count is discounted has D(h) = c(h) + 1, else D(h) = c(h).
 
-Counting and scoring both send every token to the bucket of its word, packed by map tasks into few compact blobs; a word
-that holds much of the corpus is spread over all buckets by its history. There a pair's count is local. What alpha(h)
-needs is a sum over buckets: each sends its part to the history's bucket and gets the whole back. Counts and histories
-are stored as a table partitioned by kind, and everything in it grows with the corpus: no task and not the driver sees more
-than one bucket, but for a few sums.
+fit() counts the pairs of each batch of texts, sends them, packed, to the bucket of their word, and adds them up there. A
+word that holds much of the corpus is spread over all buckets by its history. What alpha(h) needs is a sum over buckets:
+each sends its part to the history's own bucket and gets the whole back. The model is two stored tables, one row per
+bucket: by word the counts of words and pairs with their histories' sums, by history the sums alone. Both grow with the
+corpus; the driver sees a few sums.
+
+score() takes any documents. Tokens go to their word's bucket, where the pair's count, the word's count and, but for
+rare histories, alpha(h) are at hand. Tokens that back off from a history that the bucket doesn't know go on to the
+history's bucket. The model's tables are stored by bucket, so that only tokens are shuffled.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Cache, stored
+from .common import LOWER, UPPER, dropped, stored, stored_buckets
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Hashes of what stands for the start and the end of a text; no word is empty or holds a blank.
@@ -36,10 +40,11 @@ K = 5
 BUCKET_TOKENS, LEAST_BUCKETS, TOKEN_BYTES = 5_000_000, 24, 6
 #: Tokens that a map task packs at once.
 BATCH_TOKENS = 4_500_000
-#: Rows read to find words that hold a large share; they only steer how work is spread.
-HOT_ROWS, HOT_WORDS, HOT_SHARE = 2_000, 63, 1 / 200
-#: The parts of a history: its count, its words by pair count 1-5 and by word count 1-5, the sum of larger word counts, the hot words seen.
-PARTS = 13
+#: Rows, about, spread over the whole table, that are read to find words of a large share; they only steer how work is spread. A word with
+#: HOT_SHARE of a bucket's share of the corpus is spread.
+HOT_ROWS, HOT_SHARE = 4_000, 1 / 8
+#: The sums of a history: its count, its words by pair count 1-5 and by word count 1-5, the sum of larger word counts.
+PARTS = 12
 
 
 def _hash(word: bytes) -> int:
@@ -69,111 +74,169 @@ def is_held_out(doc_id: Column, folds: int = 10) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def _token_blobs(docs: DataFrame, buckets: int, hot: list[int], id_col: str, text_col: str) -> DataFrame:
-    """bucket, data: the tokens of a batch of texts whose words fall into the bucket, sorted by word and history."""
-    hot_words = np.array(sorted(hot), np.uint64)
-
-    def flush(texts: list, rows: list):
-        w = np.concatenate([np.append(t, np.uint64(_hash(END))) for t in texts])
-        start = np.array([_hash(START)], np.uint64)
-        h = np.concatenate([np.concatenate([start, t]) for t in texts])
-        d = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in texts])
-        row, doc, train = (np.array(x) for x in zip(*rows, strict=True))
-        b = w % np.uint64(buckets)
-        spread = np.isin(w, hot_words)
-        b[spread] = ((w[spread] ^ (h[spread] * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(16)) % np.uint64(buckets)
-        words, wi = np.unique(w, return_inverse=True)
-        histories, hi = np.unique(h, return_inverse=True)
-        key = (b.astype(np.int64) << 46) | (wi.astype(np.int64) << 23) | hi
-        order = np.argsort(key, kind="stable")
-        b, wi, hi, d = b[order], wi[order], hi[order], d[order]
-        edges = np.flatnonzero(np.diff(b)) + 1
-        for lo, hi_ in zip([0, *edges.tolist()], [*edges.tolist(), len(b)], strict=True):
-            s = slice(lo, hi_)
-            wu, wn = np.unique(wi[s], return_counts=True)
-            hu, hx = np.unique(hi[s], return_inverse=True)
-            du, dx = np.unique(d[s], return_inverse=True)
-            yield int(b[lo]), _pack(words[wu], _small(wn), histories[hu], _small(hx), row[du], doc[du], train[du], _small(dx))
+class _Words(dict):
+    """Numbers words in the order in which they come; 0 and 1 are the start and the end of a text."""
+
+    def __init__(self):
+        super().__init__({START: 0, END: 1})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _batches(docs: DataFrame, flush, columns: list[Column], schema: str) -> DataFrame:
+    """flush(hashes of the words by number, numbers of the words and of the words before them, text of each, other columns of each text) -> rows (bucket, data), for batches of BATCH_TOKENS; long texts are cut."""
 
     def run(batches):
         import pyarrow as pa
 
-        cache = Cache(_hash)
-        texts, rows, n = [], [], 0
+        words, w, h, rows, n = _Words(), [], [], [], 0
 
         def out():
-            found = list(flush(texts, rows))
+            hashes = np.fromiter(map(_hash, words), np.uint64, len(words))
+            found = list(flush(hashes, np.concatenate(w), np.concatenate(h), np.repeat(np.arange(len(w), dtype=np.int32), [len(x) for x in w]), rows))
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "data"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for row, doc, text, train in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                    words = (text or "").encode().translate(_LOWER).split()
-                    texts.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
-                    rows.append((row, doc, train))
-                    n += len(words) + 1
-                    if n >= BATCH_TOKENS:
-                        yield out()
-                        texts, rows, n = [], [], 0
-        if texts:
+                for text, *row in zip(*(part.column(i).to_pylist() for i in range(part.num_columns)), strict=True):
+                    found = [START, *(text or "").encode().translate(_LOWER).split(), END]
+                    for k in range(0, len(found) - 1, BATCH_TOKENS):
+                        ids = np.fromiter(map(words.__getitem__, found[k : k + BATCH_TOKENS + 1]), np.int32)
+                        w.append(ids[1:])
+                        h.append(ids[:-1])
+                        rows.append(row)
+                        n += len(ids) - 1
+                        if n >= BATCH_TOKENS:
+                            yield out()
+                            words, w, h, rows, n = _Words(), [], [], [], 0
+        if n:
             yield out()
 
-    columns = F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"), (~is_held_out(F.col(id_col))).alias("train")
-    return docs.select(*columns).mapInArrow(run, "bucket long, data binary")
+    return docs.select(*columns).mapInArrow(run, schema)
+
+
+def _bucket_of(hashes: np.ndarray, w: np.ndarray, h: np.ndarray, buckets: int, hot: np.ndarray) -> np.ndarray:
+    """That of the word's hash; a hot word's pairs are dealt by both hashes."""
+    own = (hashes % np.uint64(buckets)).astype(np.int32)
+    b = own[w]
+    spread = np.isin(hashes, hot)[w]
+    if spread.any():
+        mixed = hashes[w[spread]] ^ (hashes[h[spread]] * np.uint64(0x9E3779B97F4A7C15))
+        b[spread] = ((mixed >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
+    return b
+
+
+def _slices(b: np.ndarray):
+    """(value, slice) of each run of a sorted array."""
+    edges = np.flatnonzero(np.diff(b)) + 1
+    for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(b)], strict=True):
+        if hi > lo:
+            yield int(b[lo]), slice(lo, hi)
+
+
+def _pair_blobs(docs: DataFrame, buckets: int, hot: np.ndarray, text_col: str) -> DataFrame:
+    """bucket, data: the different pairs of a batch whose words fall into the bucket, and how often each comes."""
+
+    def flush(hashes, w, h, _, rows):
+        key = np.sort((w.astype(np.int64) << 32) | h)
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        count = np.diff(np.append(first, len(key)))
+        w, h = (key[first] >> 32).astype(np.int32), (key[first] & 0xFFFFFFFF).astype(np.int32)
+        b = _bucket_of(hashes, w, h, buckets, hot)
+        order = np.argsort(b, kind="stable")
+        b, w, h, count = b[order], w[order], h[order], count[order]
+        for bucket, s in _slices(b):
+            wu, wn = np.unique(w[s], return_counts=True)
+            hu, hx = np.unique(h[s], return_inverse=True)
+            yield bucket, _pack(hashes[wu], _small(wn), hashes[hu], _small(hx), _small(count[s]))
+
+    return _batches(docs, flush, [F.col(text_col).alias("text")], "bucket long, data binary")
+
+
+def _token_blobs(docs: DataFrame, buckets: int, hot: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """bucket, data: the tokens of a batch of texts whose words fall into the bucket, sorted by word and history, and the text of each."""
+
+    def flush(hashes, w, h, d, rows):
+        row, doc, held_out = (np.array(x) for x in zip(*rows, strict=True))
+        b = _bucket_of(hashes, w, h, buckets, hot)
+        order = np.lexsort((h, w, b)) if len(hashes) >= 1 << 23 else np.argsort((b.astype(np.int64) << 46) | (w.astype(np.int64) << 23) | h)
+        b, w, h, d = b[order], w[order], h[order], d[order]
+        for bucket, s in _slices(b):
+            wu, wn = np.unique(w[s], return_counts=True)
+            hu, hx = np.unique(h[s], return_inverse=True)
+            du, dx = np.unique(d[s], return_inverse=True)
+            yield bucket, _pack(hashes[wu], _small(wn), hashes[hu], _small(hx), row[du], doc[du], held_out[du], _small(dx))
+
+    columns = [F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), is_held_out(F.col(id_col)).alias("held_out")]
+    return _batches(docs, flush, columns, "bucket long, data binary")
 
 
 #: Stands for a null id in the arrays.
 NO_ID = -(1 << 63)
 
 
+def _joined(parts: list[tuple], at: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All hashes that the parts have at this place, sorted, and for each part where its own are."""
+    whole = np.unique(np.concatenate([p[at] for p in parts]))
+    return whole, [np.searchsorted(whole, p[at]).astype(np.int32) for p in parts]
+
+
+def _where(whole: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each of asked is in the sorted array, -1 if it isn't there."""
+    if not len(whole):
+        return np.full(len(asked), -1)
+    at = np.minimum(np.searchsorted(whole, asked), len(whole) - 1)
+    return np.where(whole[at] == asked, at, -1)
+
+
+@dataclass
 class _Bucket:
-    """All tokens of a bucket: words, histories, distinct pairs with their training counts, and where each token belongs."""
+    """The training counts of a bucket: hashes of words and histories, sorted; pairs, sorted by word, then history."""
+
+    words: np.ndarray
+    word_count: np.ndarray
+    histories: np.ndarray
+    pair_word: np.ndarray
+    pair_history: np.ndarray
+    count: np.ndarray
 
-    def __init__(self, blobs: list[bytes]):
+    @classmethod
+    def added(cls, blobs: list[bytes]) -> _Bucket:
         parts = [_unpack(x) for x in blobs]
-        self.words = np.unique(np.concatenate([p[0] for p in parts]))
-        self.histories = np.unique(np.concatenate([p[2] for p in parts]))
-        self.row, self.doc, self.train = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
-        w, h, d, at = [], [], [], 0
-        while parts:
-            p = parts.pop(0)
-            w.append(np.repeat(np.searchsorted(self.words, p[0]).astype(np.int32), p[1]))
-            h.append(np.searchsorted(self.histories, p[2]).astype(np.int32)[p[3]])
-            d.append(p[7].astype(np.int32) + np.int32(at))
-            at += len(p[4])
-        w, h, self.d = np.concatenate(w), np.concatenate(h), np.concatenate(d)
-        trained = self.train[self.d]
-        self.word_count = np.bincount(w, weights=trained, minlength=len(self.words)).astype(np.int64)
-        key = (w.astype(np.int64) << 32) | h
-        del w, h
+        words, ws = _joined(parts, 0)
+        histories, hs = _joined(parts, 2)
+        key = np.concatenate([(np.repeat(w, p[1]).astype(np.int64) << 32) | h[p[3]] for p, w, h in zip(parts, ws, hs, strict=True)])
+        n = np.concatenate([p[4].astype(np.int64) for p in parts])
+        del parts, ws, hs
         order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        self.count = np.add.reduceat(trained[order].astype(np.int64), first)
-        self.pair_word, self.pair_history = (key[first] >> 32).astype(np.int32), (key[first] & 0xFFFFFFFF).astype(np.int32)
-        self.pair = np.empty(len(order), np.int32)
-        self.pair[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(order))))
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        count = np.add.reduceat(n, first)
+        w, h = (key[first] >> 32).astype(np.int32), (key[first] & 0xFFFFFFFF).astype(np.int32)
+        return cls(words, np.bincount(w, weights=count, minlength=len(words)).astype(np.int64), histories, w, h, count)
+
+    def packed(self) -> bytes:
+        return _pack(self.words, _small(self.word_count), self.histories, _small(self.pair_word), _small(self.pair_history), _small(self.count))
+
+    @classmethod
+    def read(cls, data: bytes) -> _Bucket:
+        return cls(*_unpack(data))
 
 
-def _parts(b: _Bucket, hot: list[int]) -> np.ndarray:
-    """PARTS by history of the bucket, over its own pairs."""
-    seen = b.count > 0
-    c, w, h = b.count[seen], b.pair_word[seen], b.pair_history[seen]
-    cw = b.word_count[w]
-    hot_at = np.full(len(b.words), -1)
-    for i, x in enumerate(hot):
-        hot_at[b.words == np.uint64(x)] = i
-    is_hot = hot_at[w] >= 0
-    n = len(b.histories)
+def _parts(b: _Bucket) -> np.ndarray:
+    """PARTS by history of the bucket, over its own pairs; word_count must be that of the corpus."""
+    c, h, n = b.count, b.pair_history, len(b.histories)
+    cw = b.word_count[b.pair_word]
     out = np.zeros((PARTS, n), np.uint64)
     out[0] = np.bincount(h, weights=c, minlength=n)
     for r in range(1, K + 1):
         out[r] = np.bincount(h[c == r], minlength=n)
-        out[K + r] = np.bincount(h[(cw == r) & ~is_hot], minlength=n)
-    big = (cw > K) & ~is_hot
+        out[K + r] = np.bincount(h[cw == r], minlength=n)
+    big = cw > K
     np.add.at(out[2 * K + 1], h[big], cw[big].astype(np.uint64))
-    np.add.at(out[2 * K + 2], h[is_hot], np.uint64(1) << hot_at[w[is_hot]].astype(np.uint64))
     return out
 
 
@@ -195,12 +258,13 @@ def good_turing(n: list[int]) -> list[float]:
 
 @dataclass(frozen=True)
 class Katz:
-    """A fitted model: sums on the driver, and a stored table (kind, bucket, part, data) with the counts and histories."""
+    """A fitted model: sums on the driver, and the stored tables ngrams (bucket, data, sums) and histories (bucket, data)."""
 
-    table: DataFrame
+    ngrams: DataFrame
+    histories: DataFrame
     buckets: int
-    hot: list[int]
-    hot_counts: list[int]
+    hot: np.ndarray
+    hot_counts: np.ndarray
     tokens: int
     words: int
     word_discounts: list[float]
@@ -213,147 +277,220 @@ class Katz:
         p = np.where(c <= K, d[np.minimum(c, K)], 1.0) * c * self.scale
         return np.where(c > 0, p, self.unknown)
 
-    def histories(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def weights(self, parts: tuple) -> tuple[np.ndarray, np.ndarray]:
         """log10 of D(h) and of alpha(h)."""
-        x = parts.astype(np.float64)
-        kept = x[0].copy()
-        below = x[2 * K + 1] * self.scale
+        count = parts[0].astype(np.float64)
+        kept = count.copy()
+        below = parts[2 * K + 1] * self.scale
         for r in range(1, K + 1):
-            kept -= (1 - self.pair_discounts[r - 1]) * r * x[r]
-            below += self.word_discounts[r - 1] * r * self.scale * x[K + r]
-        for i, p in enumerate(self.word_prob(np.array(self.hot_counts, np.int64)).tolist() if self.hot else []):
-            below += p * ((parts[2 * K + 2] >> np.uint64(i)) & np.uint64(1))
-        total = np.where(x[0] - kept > 0, x[0], x[0] + 1)
-        alpha = np.where(x[0] > 0, (1 - kept / np.maximum(total, 1)) / np.maximum(1 - below, 1e-300), 1.0)
+            kept -= (1 - self.pair_discounts[r - 1]) * r * parts[r]
+            below += self.word_discounts[r - 1] * r * self.scale * parts[K + r]
+        total = np.where(count - kept > 0, count, count + 1)
+        alpha = np.where(count > 0, (1 - kept / np.maximum(total, 1)) / np.maximum(1 - below, 1e-300), 1.0)
         return np.log10(np.maximum(total, 1)), np.log10(alpha)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Katz:
-    """Counts over the rows that are not held out; all rows' words and histories get a place in the table."""
-    size = docs.agg(F.sum(F.octet_length(text_col)), F.count(F.lit(1))).first()
-    buckets = max(LEAST_BUCKETS, -(-((size[0] or 0) // TOKEN_BYTES) // BUCKET_TOKENS))
-    sample: Counter = Counter()
-    for r in docs.select(text_col).limit(HOT_ROWS).toLocalIterator():
+def hot_words(docs: DataFrame, text_col: str, rows: int, share: float) -> np.ndarray:
+    """Hashes, sorted, of the words that hold this share of a spread sample, and of the end of a text."""
+    sample: Counter = Counter({END: 1})
+    total = docs.count()
+    for r in docs.select(text_col).sample(min(1.0, rows / max(total, 1)), 1).toLocalIterator():
         sample.update((r[0] or "").encode().translate(_LOWER).split())
         sample[END] += 1
-    most = HOT_SHARE * max(1, sum(sample.values()))
-    hot = sorted(_hash(w) for w, n in sample.most_common(HOT_WORDS) if n >= most)
+    least = share * sum(sample.values())
+    return np.array(sorted(_hash(w) for w, n in sample.items() if n >= least or w == END), np.uint64)
 
-    def count(table):
-        import pyarrow as pa
 
-        bucket = table.column("bucket")[0].as_py()
-        b = _Bucket(table.column("data").to_pylist())
-        hot_words = np.array(hot, np.uint64)
-        own = ~np.isin(b.words, hot_words)
-        cw = b.word_count[own]
-        hot_counts = [int(b.word_count[b.words == np.uint64(x)].sum()) for x in hot]
-        stat = [int(b.word_count.sum()), int((cw > 0).sum()), *(int((cw == r).sum()) for r in range(1, K + 2)), *(int((b.count == r).sum()) for r in range(1, K + 2)), *hot_counts]
-        rows = [("stat", bucket, bucket, stat, b"")]
-        seen = b.count > 0
-        rows.append(("counts", bucket, bucket, [], _pack(b.words, _small(b.word_count), b.histories, _small(b.pair_word[seen]), _small(b.pair_history[seen]), _small(b.count[seen]))))
-        parts, at = _parts(b, hot), (b.histories % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        edges = np.searchsorted(at[order], np.arange(buckets + 1))
-        for to in range(buckets):
-            if len(ids := order[edges[to] : edges[to + 1]]):
-                rows.append(("history", to, bucket, [], _pack(b.histories[ids], *map(_small, parts[:, ids]))))
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["kind", "part", "bucket", "stat", "data"])
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Katz:
+    """Counts over the rows that are not held out. Null text counts as empty; a null id counts as not held out; without rows every word is unknown."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-(size // TOKEN_BYTES) // BUCKET_TOKENS))
+    hot = hot_words(docs, text_col, HOT_ROWS * buckets // LEAST_BUCKETS, HOT_SHARE / buckets)
 
-    def whole(table):
-        """A history's parts from all buckets are summed, and each bucket gets the sums of those that it has, in its order."""
+    def added(table):
         import pyarrow as pa
 
-        rows, asked = [], []
-        for r in table.to_pylist():
-            if r["kind"] == "history":
-                asked.append((r["bucket"], r["part"], _unpack(r["data"])))
-            else:
-                rows.append(tuple(r[k] for k in ("kind", "part", "bucket", "stat", "data")))
-        if asked:
-            ids = np.unique(np.concatenate([x[0] for _, _, x in asked]))
-            sums = np.zeros((PARTS, len(ids)), np.uint64)
-            for _, _, x in asked:
-                at = np.searchsorted(ids, x[0])
-                for i in range(PARTS):
-                    sums[i, at] += x[1 + i].astype(np.uint64)
-            rows += [("history", part, bucket, [], _pack(x[0][:1], *map(_small, sums[:, np.searchsorted(ids, x[0])]))) for bucket, part, x in asked]
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["kind", "part", "bucket", "stat", "data"])
-
-    row = "kind string, part long, bucket long, stat array<long>, data binary"
-    counted = _token_blobs(docs, buckets, hot, id_col, text_col).groupBy("bucket").applyInArrow(count, row)
-    table = stored(counted.groupBy("part").applyInArrow(whole, row), "katz", "kind")
-    width = 2 + 2 * (K + 1) + len(hot)
-    sums = table.where("kind = 'stat'").agg(*[F.sum(F.col("stat")[i]).alias(f"s{i}") for i in range(width)]).first()
+        b = _Bucket.added(table.column("data").to_pylist())
+        cw = b.word_count[~np.isin(b.words, hot)]
+        at = _where(b.words, hot)
+        hot_counts = np.where(at >= 0, b.word_count[at], 0) if len(b.words) else np.zeros(len(hot), np.int64)
+        stat = [int(b.word_count.sum()), len(cw), *(int((cw == r).sum()) for r in range(1, K + 2)), *(int((b.count == r).sum()) for r in range(1, K + 2)), *hot_counts.tolist()]
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "stat": pa.array([stat], pa.list_(pa.int64())), "data": pa.array([b.packed()], pa.binary())})
+
+    train = docs.where(~is_held_out(F.col(id_col)))
+    counted = _pair_blobs(train, buckets, hot, text_col).groupBy("bucket").applyInArrow(added, "bucket long, stat array<long>, data binary")
+    pairs = stored_buckets(counted, "katz-pairs", "bucket", buckets)
+    sums = pairs.agg(*[F.sum(F.col("stat")[i]).alias(f"s{i}") for i in range(2 + 2 * (K + 1) + len(hot))]).first()
     stat = [int(x or 0) for x in sums]
-    tokens, hot_counts = stat[0], stat[2 + 2 * (K + 1) :]
-    n = stat[2 : 2 + K + 1]
-    for c in hot_counts:
-        if 0 < c <= K + 1:
-            n[c - 1] += 1
+    tokens, hot_counts = stat[0], np.array(stat[2 + 2 * (K + 1) :], np.int64)
+    n = [x + int((hot_counts == r).sum()) for r, x in enumerate(stat[2 : 2 + K + 1], 1)]
     dw = good_turing(n)
     unknown = sum((1 - d) * (r + 1) * n[r] for r, d in enumerate(dw)) / max(tokens, 1)
     scale = 1 / max(tokens, 1)
     if unknown <= 0:
         unknown, scale = 1 / (tokens + 1), 1 / (tokens + 1)
-    return Katz(table, buckets, hot, hot_counts, tokens, stat[1] + sum(c > 0 for c in hot_counts), dw, good_turing(stat[2 + K + 1 : 2 + 2 * (K + 1)]), unknown, scale)
+    ngrams, histories = _with_sums(pairs, buckets, hot, hot_counts)
+    dropped(pairs)
+    return Katz(ngrams, histories, buckets, hot, hot_counts, tokens, stat[1] + int((hot_counts > 0).sum()), dw, good_turing(stat[2 + K + 1 : 2 + 2 * (K + 1)]), unknown, scale)
+
+
+def _with_sums(pairs: DataFrame, buckets: int, hot: np.ndarray, hot_counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The tables of the model: histories' sums over all buckets, at the history's own bucket and at each that has it."""
+    row = "kind string, bucket long, part long, data binary"
+    kinds = ["kind", "bucket", "part", "data"]
+
+    def sent(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                b = _Bucket.read(data)
+                at = _where(b.words, hot)
+                b.word_count = b.word_count.astype(np.int64)
+                b.word_count[at[at >= 0]] = hot_counts[at >= 0]
+                parts, home = _parts(b), (b.histories % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(home, kind="stable")
+                found = [(to, _pack(b.histories[order[s]], *map(_small, parts[:, order[s]]))) for to, s in _slices(home[order])]
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(found), pa.int64()), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "part", "data"])
+
+    def whole(table):
+        """The parts of a history are summed, and each bucket gets the sums of those that it has, in its order."""
+        import pyarrow as pa
+
+        part = table.column("part")[0].as_py()
+        asked = [(b, _unpack(x)) for b, x in zip(table.column("bucket").to_pylist(), table.column("data").to_pylist(), strict=True)]
+        ids, at = _joined([x for _, x in asked], 0)
+        sums = np.zeros((PARTS, len(ids)), np.uint64)
+        for (_, x), places in zip(asked, at, strict=True):
+            for i in range(PARTS):
+                sums[i, places] += x[1 + i].astype(np.uint64)
+        rows = [("own", part, part, _pack(ids, *map(_small, sums)))]
+        rows += [("sums", bucket, part, _pack(*map(_small, sums[:, places]))) for (bucket, _), places in zip(asked, at, strict=True)]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=kinds)
+
+    def put(left, right):
+        """A bucket's counts, and the sums of its histories in their order."""
+        import pyarrow as pa
+
+        data = left.column("data")[0].as_py()
+        b = _Bucket.read(data)
+        home = (b.histories % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        places = {to: order[s] for to, s in _slices(home[order])}
+        sums = np.zeros((PARTS, len(b.histories)), np.uint64)
+        for part, x in zip(right.column("part").to_pylist(), right.column("data").to_pylist(), strict=True):
+            for i, v in enumerate(_unpack(x)):
+                sums[i, places[part]] = v
+        return pa.table({"bucket": left.column("bucket"), "data": left.column("data"), "sums": pa.array([_pack(*map(_small, sums))], pa.binary())})
+
+    parts = pairs.select("bucket", "data").mapInArrow(sent, "bucket long, part long, data binary")
+    back = stored(parts.groupBy("part").applyInArrow(whole, row), "katz-sums", "kind")
+    histories = stored_buckets(back.where("kind = 'own'").select("bucket", "data"), "katz-histories", "bucket", buckets)
+    sums = back.where("kind = 'sums'").select("bucket", "part", "data")
+    ngrams = pairs.select("bucket", "data").groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(put, "bucket long, data binary, sums binary")
+    ngrams = stored_buckets(ngrams, "katz-ngrams", "bucket", buckets)
+    dropped(back)
+    return ngrams, histories
 
 
 def score(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs, which must be the rows that the model was fitted on: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of docs, whatever the model was fitted on: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    A text is its words, A-Z lower-cased, and one end. Null text counts as empty. A null id counts as not held out;
-    rows that repeat an id are scored each. An empty table gives no rows; other columns are ignored.
+    A text is its words, A-Z lower-cased, and one end. Null text counts as empty, long ones are cut for packing only. A
+    null id counts as not held out; rows that repeat an id are scored each. An empty table gives no rows; other columns
+    are ignored.
     """
-    fixed = {k: v for k, v in vars(model).items() if k != "table"}
+    fixed = {k: v for k, v in vars(model).items() if k not in ("ngrams", "histories")}
+    columns = "row long, doc long, held_out boolean, n long, known long, base double, score double, part long, data binary"
+    names = ["row", "doc", "held_out", "n", "known", "base", "score", "part", "data"]
 
     def evaluate(left, right):
         import pyarrow as pa
 
-        names, kinds = ["row", "doc", "train", "n", "known", "base", "score"], [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary()]
         if not left.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
-        m = Katz(None, **fixed)
-        b = _Bucket(left.column("data").to_pylist())
-        at = (b.histories % np.uint64(m.buckets)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        edges = np.searchsorted(at[order], np.arange(m.buckets + 1))
-        parts = np.zeros((PARTS, len(b.histories)), np.uint64)
-        filled = 0
-        for part, data in zip(right.column("part").to_pylist(), right.column("data").to_pylist(), strict=True):
-            ids, x = order[edges[part] : edges[part + 1]], _unpack(data)
-            if len(ids) != len(x[1]) or b.histories[ids[0]] != x[0][0]:
-                raise ValueError("the model was fitted on other rows")
-            for i in range(PARTS):
-                parts[i, ids] = x[1 + i]
-            filled += len(ids)
-        if filled != len(b.histories):
-            raise ValueError("the model was fitted on other rows")
-        total, alpha = m.histories(parts)
-        cw = b.word_count
-        for x, c in zip(m.hot, m.hot_counts, strict=True):
-            cw[b.words == np.uint64(x)] = c
+        m = Katz(None, None, **fixed)
+        t = _Tokens([_unpack(x) for x in left.column("data").to_pylist()])
+        if right.num_rows:
+            b = _Bucket.read(right.column("data")[0].as_py())
+            total, alpha = m.weights(_unpack(right.column("sums")[0].as_py()))
+        else:
+            none = np.empty(0, np.int64)
+            b, total, alpha = _Bucket(none.view(np.uint64), none, none.view(np.uint64), none, none, none), np.empty(0), np.empty(0)
+        word, history = _where(b.words, t.words), _where(b.histories, t.histories)
+        cw = np.where(word >= 0, b.word_count[word].astype(np.int64), 0) if len(b.words) else np.zeros(len(t.words), np.int64)
+        at = _where(t.words, m.hot)
+        cw[at[at >= 0]] = m.hot_counts[at >= 0]
         pw = np.log10(m.word_prob(cw))
+        # The recursion: the pair's own estimate where it was seen, else the history's weight and the word's estimate.
+        w, h = word[t.pair_word], history[t.pair_history]
+        key = (b.pair_word.astype(np.int64) << 32) | b.pair_history
+        pair = _where(key, np.where((w >= 0) & (h >= 0), (w << 32) | h, -1))
+        c = np.where(pair >= 0, b.count[pair].astype(np.int64), 0) if len(key) else np.zeros(len(pair), np.int64)
         d = np.array([0.0, *m.pair_discounts])
-        c = b.count
-        shown = np.log10(np.where(c <= K, d[np.minimum(c, K)], 1.0) * np.maximum(c, 1e-300), where=c > 0, out=np.zeros(len(c)))
-        value = np.where(c > 0, shown - total[b.pair_history], alpha[b.pair_history] + pw[b.pair_word])
-        n = len(b.row)
-        token_word = b.pair_word[b.pair]
-        sums = [np.bincount(b.d, minlength=n), np.bincount(b.d, weights=(cw > 0)[token_word], minlength=n).astype(np.int64), np.bincount(b.d, weights=np.log10(cw + 0.1)[token_word], minlength=n), np.bincount(b.d, weights=value[b.pair], minlength=n)]
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip([b.row, b.doc, b.train, *sums], kinds, strict=True)], names=names)
+        seen = np.log10(np.where(c <= K, d[np.minimum(c, K)], 1.0) * c, where=c > 0, out=np.zeros(len(c)))
+        seen -= total[h] if len(total) else 0
+        backoff = pw[t.pair_word] + (np.where(h >= 0, alpha[h], 0.0) if len(alpha) else 0.0)
+        value = np.where(c > 0, seen, backoff)
+        n = len(t.row)
+        token_word = t.pair_word[t.pair]
+        sums = [np.bincount(t.d, minlength=n), np.bincount(t.d, weights=(cw > 0)[token_word], minlength=n).astype(np.int64), np.bincount(t.d, weights=np.log10(cw + 0.1)[token_word], minlength=n), np.bincount(t.d, weights=value[t.pair], minlength=n)]
+        # Histories that this bucket doesn't know: their weight comes from their own bucket.
+        away = np.flatnonzero((h < 0)[t.pair])
+        asked = t.histories[t.pair_history[t.pair[away]]]
+        home = (asked % np.uint64(m.buckets)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        blobs = [(to, _pack(asked[order[s]], t.row[t.d[away[order[s]]]])) for to, s in _slices(home[order])]
+        table = [[*x, *([None] * len(blobs))] for x in (t.row, t.doc, t.held_out, *sums)] + [[None] * n + [x for x, _ in blobs], [None] * n + [x for _, x in blobs]]
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(table, kinds, strict=True)], names=names)
+
+    def weigh(left, right):
+        import pyarrow as pa
+
+        if not left.num_rows or not right.num_rows:  # a history without any pair weighs nothing
+            return pa.table({"row": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        m = Katz(None, None, **fixed)
+        ids, *sums = _unpack(right.column("data")[0].as_py())
+        _, alpha = m.weights(sums)
+        parts = [_unpack(x) for x in left.column("data").to_pylist()]
+        at, row = _where(ids, np.concatenate([p[0] for p in parts])), np.concatenate([p[1] for p in parts])
+        rows, back = np.unique(row[at >= 0], return_inverse=True)
+        return pa.table({"row": rows, "score": np.bincount(back, weights=alpha[at[at >= 0]], minlength=len(rows))})
 
     blobs = _token_blobs(docs, model.buckets, model.hot, id_col, text_col)
-    asked = model.table.where("kind = 'history'").select("bucket", "part", "data")
-    found = blobs.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(evaluate, "row long, doc long, train boolean, n long, known long, base double, score double")
-    rows = found.groupBy("row", "doc", "train").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "score")])
+    found = stored(blobs.groupBy("bucket").cogroup(model.ngrams.groupBy("bucket")).applyInArrow(evaluate, columns), "katz-scores")
+    asked = found.where("part is not null").select(F.col("part").alias("bucket"), "data")
+    weights = asked.groupBy("bucket").cogroup(model.histories.groupBy("bucket")).applyInArrow(weigh, "row long, score double")
+    own = found.where("row is not null").select("row", "doc", "held_out", "n", "known", "base", "score")
+    rest = weights.select("row", *[F.lit(None).cast(t).alias(c) for c, t in (("doc", "long"), ("held_out", "boolean"), ("n", "long"), ("known", "long"), ("base", "double"))], "score")
+    rows = own.unionAll(rest).groupBy("row").agg(F.max("doc").alias("doc"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n", "known", "base", "score")])
     per_token = float(np.log10(model.tokens + 0.1 * (model.words + 1)))
     return rows.select(
-        F.when(F.col("doc") != NO_ID, F.col("doc")).alias(id_col), (~F.col("train")).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
+        F.when(F.col("doc") != NO_ID, F.col("doc")).alias(id_col), "held_out", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n") * F.lit(per_token)).alias("base_score"), "score",
     )
 
 
+class _Tokens:
+    """The tokens of a bucket: hashes of words and histories, sorted; different pairs; the pair and the text of each token; the texts."""
+
+    def __init__(self, parts: list[tuple]):
+        self.words, ws = _joined(parts, 0)
+        self.histories, hs = _joined(parts, 2)
+        self.row, self.doc, self.held_out = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
+        ends = np.cumsum([len(p[4]) for p in parts])
+        self.d = np.concatenate([p[7].astype(np.int32) + np.int32(end - len(p[4])) for p, end in zip(parts, ends, strict=True)])
+        key = np.concatenate([(np.repeat(w, p[1]).astype(np.int64) << 32) | h[p[3]] for p, w, h in zip(parts, ws, hs, strict=True)])
+        parts.clear()
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        self.pair_word, self.pair_history = (key[first] >> 32).astype(np.int32), (key[first] & 0xFFFFFFFF).astype(np.int32)
+        self.pair = np.empty(len(order), np.int32)
+        self.pair[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(order))))
+
+
 def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, fit(docs))
