@@ -3,7 +3,11 @@
 Whether a token boundary stands at some place depends on what follows only up to a distance that the merge list fixes.
 MergeList computes a sufficient distance. WordEncoder then reads a word in pieces, emits each token as soon as that many
 bytes follow it, and keeps no more than a fixed number of bytes. TextEncoder feeds it from a text read in blocks, so
-that memory doesn't grow with the text or with the longest word.
+that memory doesn't grow with the text or with the longest word. TextDecoder turns ids to text token by token: a state
+machine over the bytes, which keeps those of an unfinished character.
+
+Between words both machines are in one and the same state, so what they make of a word is remembered by the word; that
+changes no result. Runs without white space that are longer than CUT go through both in parts and aren't remembered.
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ _GAP = regex.compile(f"[{WS}]+")
 _CHUNK = regex.compile(f"[^{WS}]+")
 #: No character below this, nor a CJK ideograph or Hangul syllable, ever joins the one before it in NFC.
 _SAFE = regex.compile(r"[\x00-\u02ff\u4e00-\u9fff\uac00-\ud7a3]")
-BLOCK = 1 << 16
-LONG_CHUNK = 512
+BLOCK, CUT = 1 << 16, 512
+#: Words and runs that a task remembers, in each of two generations.
+REMEMBERED = 250_000
 #: A merge's rank and the id that it makes, in one number.
 BITS = 24
 MASK, NONE = (1 << BITS) - 1, 1 << 62
@@ -124,18 +129,22 @@ class WordEncoder:
         rest, self.rest = self.rest, b""
         return self.merges.word(rest) if rest else []
 
+    def whole(self, word: str) -> tuple[int, ...]:
+        return (*self.feed(word.encode()), *self.end())
+
 
 class TextEncoder:
     """A text to ids: special tokens, normalisation (NFC, lower case), pieces, merges.
 
-    view makes of a run's ids what encode() returns for it; runs without white space are cached with it.
+    view makes of the ids of a whole run without white space what encode() returns for it, and is remembered with it;
+    part(ids, last) does so for a run that comes in parts, in order.
     """
 
-    def __init__(self, merges: MergeList, special: dict[str, int], view: Callable = list):
-        self.merges, self.special, self.view = merges, special, view
+    def __init__(self, merges: MergeList, special: dict[str, int], view: Callable = list, part: Callable = lambda ids, last: list(ids)):
+        self.merges, self.special, self.view, self.part = merges, special, view, part
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.words = Cache(lambda p: tuple(merges.word(p.encode())))
-        self.chunks = Cache(self._chunk)
+        self.words = Cache(WordEncoder(merges).whole, REMEMBERED)
+        self.chunks = Cache(self._chunk, REMEMBERED)
 
     def _chunk(self, raw: str):
         return self.view([i for p in _PIECE.findall(normal(raw)) for i in self.words[p]])
@@ -155,7 +164,7 @@ class TextEncoder:
             stop, whole = min(at + BLOCK, n), True
             if stop < n:  # a block ends before white space, or inside a run that fills it
                 last = None
-                for last in _GAP.finditer(text, max(at + 1, stop - 4 * LONG_CHUNK), stop):
+                for last in _GAP.finditer(text, max(at + 1, stop - 4 * CUT), stop):
                     pass
                 stop, whole = (last.start(), True) if last else (stop, False)
             block, at = text[at:stop], stop
@@ -163,25 +172,30 @@ class TextEncoder:
                 head = _CHUNK.match(block).end()
                 ids = [i for found in run.feed(block[:head]) for i in found]
                 if head == len(block) and not whole:
-                    yield [self.view(ids)]
+                    yield [self.part(ids, False)]
                     continue
-                yield [self.view(ids + run.end())]
+                yield [self.part(ids + run.end(), True)]
                 block = block[head:]
             elif run.open:
-                yield [self.view(run.end())]
-            chunks = _CHUNK.findall(block)
-            if whole and max(map(len, chunks), default=0) <= LONG_CHUNK:
+                yield [self.part(run.end(), True)]
+            chunks = runs(block)
+            if whole and max(map(len, chunks), default=0) <= CUT:
                 yield [*map(self.chunks.__getitem__, chunks)]
                 continue
             for i, c in enumerate(chunks):
                 if i + 1 == len(chunks) and not whole:
-                    yield [self.view([i for found in run.feed(c) for i in found])]
-                elif len(c) <= LONG_CHUNK:
+                    yield [self.part([i for found in run.feed(c) for i in found], False)]
+                elif len(c) <= CUT:
                     yield [self.chunks[c]]
                 else:
-                    yield [self.view([i for found in run.feed(c) for i in found] + run.end())]
+                    yield [self.part([i for found in run.feed(c) for i in found] + run.end(), True)]
         if run.open:
-            yield [self.view(run.end())]
+            yield [self.part(run.end(), True)]
+
+
+def runs(block: str) -> list[str]:
+    """Runs without white space; str.split() would also split at U+001C-U+001F."""
+    return _CHUNK.findall(block) if any(map(block.__contains__, "\x1c\x1d\x1e\x1f")) else block.split()
 
 
 def normal(raw: str) -> str:
@@ -233,7 +247,7 @@ class _LongChunk:
             # Near the end a quote may still become a contraction, and a run may go on.
             if last or m.end() < len(text) - 3:
                 yield self.word.feed(m[0].encode()) + self.word.end()
-            elif k + 1 == len(found) and m.end() - m.start() > LONG_CHUNK:
+            elif k + 1 == len(found) and m.end() - m.start() > CUT:
                 kind = "L" if _LETTERS.match(m[0]) else "S"
                 yield self.word.feed(m[0].encode())
                 self.kind = kind
@@ -247,30 +261,46 @@ _LETTERS = regex.compile(r"\p{L}+")
 _SIGNS = regex.compile(rf"[^{WS}\p{{L}}\p{{N}}]+")
 
 
+class Spelling:
+    """By id, the bytes of a token, with the blank that stands between it and the next."""
+
+    def __init__(self, pieces: dict[int, bytes], gaps: set[int]):
+        top = max(pieces, default=-1) + 1
+        self.data = [pieces.get(i, b"") + (b" " if i in gaps else b"") for i in range(top)]
+        self.gap = [i in gaps for i in range(top)]
+
+
 class TextDecoder:
-    """Ids to text, piece by piece. Bytes of a character that isn't complete wait; a token that ends a word adds a blank before the next."""
-
-    def __init__(self, merges: MergeList, special: dict[int, str]):
-        self.merges, self.special = merges, special
-        self.utf8, self.gap = codecs.getincrementaldecoder("utf-8")("replace"), False
-
-    def feed(self, i: int) -> str:
-        if i in self.special:
-            return self.end() + (" " if self._gap() else "") + self.special[i]
-        token = self.merges.tokens[i]
-        out = " " if self._gap() else ""
-        out += self.utf8.decode(bytes(map(self.merges.byte_of.__getitem__, token.removesuffix(END))))
-        self.gap = token.endswith(END)
-        return out
+    """Ids to text, piece by piece. Bytes of a character that isn't complete wait, and so does a blank after the last token; what doesn't become a character is replaced."""
 
-    def _gap(self) -> bool:
-        gap, self.gap = self.gap, False
-        return gap
+    def __init__(self, spelling: Spelling, gap: bool = False):
+        self.spelling, self.gap = spelling, gap
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: list[int]) -> str:
+        if not ids:
+            return ""
+        data = b"".join(map(self.spelling.data.__getitem__, ids))
+        if self.gap:
+            data = b" " + data
+        self.gap = self.spelling.gap[ids[-1]]
+        return self.utf8.decode(data[:-1] if self.gap else data)
 
     def end(self) -> str:
-        out = self.utf8.decode(b"", True)
-        self.utf8.reset()
-        return out
+        return self.utf8.decode(b"", True)
+
+
+def spelled_text(merges: MergeList, special: dict[str, int]) -> Spelling:
+    """Tokens as the bytes of the text that they stand for; a blank follows what ends a word."""
+    own = {i: t.encode() for t, i in special.items()}
+    plain = {i: bytes(map(merges.byte_of.__getitem__, t.removesuffix(END))) for i, t in merges.tokens.items() if i not in own}
+    return Spelling(plain | own, {i for i, t in merges.tokens.items() if i not in own and t.endswith(END)})
+
+
+def spelled_tokens(merges: MergeList, special: dict[str, int]) -> Spelling:
+    """Tokens as they are named, with blanks between them: what a file that names no decoder decodes to."""
+    names = {i: t.encode() for i, t in merges.tokens.items()} | {i: t.encode() for t, i in special.items()}
+    return Spelling(names, set(names))
 
 
 @lru_cache(maxsize=4)
@@ -297,12 +327,12 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         merges, special = load(path)
         encoder = TextEncoder(merges, special)
-        names = {i: t for t, i in special.items()}
+        spelled = spelled_text(merges, special)
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = [i for block in encoder.encode(text.as_py() or "") for run in block for i in run]
-                decoder = TextDecoder(merges, names)
-                decoded = "".join(map(decoder.feed, ids)) + decoder.end()
+                decoder = TextDecoder(spelled)
+                decoded = decoder.feed(ids) + decoder.end()
                 yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], batch.schema.field(0).type), pa.array([ids], pa.list_(pa.int32())), pa.array([decoded])], names=["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -314,8 +344,9 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per row of docs: id, n_tokens, ids_sha256, decoded_sha256, n_text_chars.
 
     ids_sha256 is of the decimal ids joined by one blank. The file names no decoder, so its library decodes to the token
-    strings joined by one blank: decoded_sha256 is of that. n_text_chars counts the code points of the text that the byte-to-text
-    machine makes. All are computed on the fly, in constant memory for each text. Null text counts as empty.
+    strings joined by one blank: decoded_sha256 is of that. n_text_chars counts the code points of the text that the tokens stand
+    for. The byte-to-text machine makes both. All are computed on the fly, in constant memory for each text. Null text counts as
+    empty; ids aren't looked at; an empty table gives no rows; other columns are ignored.
     """
     path = vocabulary or vocabulary_path()
 
@@ -324,7 +355,7 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         merges, special = load(path)
         digester = Digester(merges, special)
-        encoder = TextEncoder(merges, special, digester.view)
+        encoder = TextEncoder(merges, special, digester.view, digester.part)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -338,35 +369,46 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 class Digester:
-    """Digests of a stream of ids and of what it decodes to."""
+    """Digests of a stream of ids and of what it decodes to.
+
+    A view holds of a run: its ids as text, what they decode to by name, how many they are, the code points that they
+    decode to by meaning and whether a blank follows. Each text begins with a blank, as if a word stood before it.
+    """
 
     def __init__(self, merges: MergeList, special: dict[str, int]):
-        named = merges.tokens | {i: t for t, i in special.items()}
-        top = max(named, default=0) + 1
-        self.number = [f" {i}".encode() for i in range(top)]
-        self.piece = [f" {named.get(i, '')}".encode() for i in range(top)]
-        self.lead = [0] * top  # code points that begin in a token, and the blank after a word
-        for i, t in named.items():
-            raw = t.encode() if i in special.values() else bytes(map(merges.byte_of.__getitem__, t.removesuffix(END)))
-            self.lead[i] = sum(b & 0xC0 != 0x80 for b in raw) + t.endswith(END)
-
-    def view(self, ids: list[int]) -> tuple[bytes, bytes, int, int]:
-        return b"".join(map(self.number.__getitem__, ids)), b"".join(map(self.piece.__getitem__, ids)), len(ids), sum(map(self.lead.__getitem__, ids))
+        named, meant = spelled_tokens(merges, special), spelled_text(merges, special)
+        self.number = [f" {i}".encode() for i in range(len(named.data))]
+        self.named, self.meant, self.open = TextDecoder(named), TextDecoder(meant), TextDecoder(meant)
+
+    def _view(self, ids: list[int], machine: TextDecoder, last: bool) -> tuple[bytes, bytes, int, int, bool]:
+        chars = len(machine.feed(ids))
+        gap = False
+        if last:
+            chars += len(machine.end())
+            gap, machine.gap = machine.gap, False
+        self.named.gap = True
+        return b"".join(map(self.number.__getitem__, ids)), self.named.feed(ids).encode(), len(ids), chars, gap
+
+    def view(self, ids: list[int]) -> tuple[bytes, bytes, int, int, bool]:
+        return self._view(ids, self.meant, True)
+
+    def part(self, ids: list[int], last: bool) -> tuple[bytes, bytes, int, int, bool]:
+        return self._view(ids, self.open, last)
 
     def digest(self, blocks: Iterator[list]) -> tuple[int, str, str, int]:
         ids, text = hashlib.sha256(), hashlib.sha256()
         n = chars = 0
-        end = b""
+        gap = False
         for block in blocks:
             if block:
-                numbers, pieces, counts, leads = zip(*block, strict=True)
+                numbers, pieces, counts, lengths, gaps = zip(*block, strict=True)
                 a, b = b"".join(numbers), b"".join(pieces)
                 ids.update(a if n else a[1:])
                 text.update(b if n else b[1:])
                 n += sum(counts)
-                chars += sum(leads)
-                end = b[-8:] or end
-        return n, ids.hexdigest(), text.hexdigest(), chars - end.endswith(END.encode())
+                chars += sum(lengths) + sum(gaps)
+                gap = gaps[-1]
+        return n, ids.hexdigest(), text.hexdigest(), chars - gap
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
