@@ -114,14 +114,29 @@ def repeat_words(w):
 def test_quality_rules(spark, docs, empty):
     rng = random.Random(9)
     rows = [(i, "".join(rng.choice(["a", "b", "cc", "#", "|x", "é"]) + rng.choice([" ", "\n", "\t", "  ", "\n\n"]) for _ in range(rng.randint(0, 120)))) for i in range(60)]
+    rows += [(100, "- a\n* b\n• c\n" * 30), (101, "one two three ...\nfour five six…\nseven" + " w" * 60), (102, "1 2 3 4 " * 20 + "word " * 30), (103, "!" * 50_000 + " a" * 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in quality_rules.cascade(df, all_metrics=True).collect()}
+    wanted = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    every = tuple(dict.fromkeys([*wanted, *(r.metric for r in quality_rules.RULES)]))
+    want, plain = {}, {}
     for i, t in rows:
         w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
-        r = got[i]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), repeat_words(w))
-    short = {r.doc_id: r.kept for r in quality_rules.cascade(df).collect()}
-    assert short == {i: r.kept for i, r in got.items()}
+        n = len(w)
+        want[i] = (n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), repeat_words(w))
+        letters, dots, bullets = sum(any(map(str.isalpha, x)) for x in w), sum(bool(re.search(r"(?:\.\.\.|…)\s*$", x)) for x in lines), sum(bool(re.match(r"\s*[-*•]", x)) for x in lines)
+        fails = {"few_words": n < 50, "repetition": 2 * want[i][4] > n, "word_length": not 2 * n <= want[i][1] <= 15 * n, "symbols": 2 * want[i][2] > n, "few_letters": 10 * letters < 7 * n, "ellipses": 10 * dots > 3 * len(lines), "bullets": 10 * bullets > 9 * len(lines), "repeated_lines": 10 * want[i][3] > 3 * len(lines)}
+        plain[i] = {k for k, x in fails.items() if x}
+    assert set().union(*plain.values()) == {r.name for r in quality_rules.RULES}
+    order = quality_rules.order_rules(df, wanted=wanted)
+    for order in (order, order[::-1]):
+        got = {r.doc_id: r for r in quality_rules.cascade(df, wanted=wanted, order=order).collect()}
+        for i, r in got.items():
+            assert tuple(r[m] for m in wanted) == want[i] and r.kept == (not plain[i])
+            assert r.failed_rule == next((x.name for x in order if x.name in plain[i]), None)
+            done = set(wanted) | {x.metric for x in order[: 1 + next((k for k, x in enumerate(order) if x.name in plain[i]), len(order))]}
+            assert {m for m in every if r[m] is not None} == done, "what comes after a failure isn't measured"
+    assert {r.name for r in order} == {r.name for r in quality_rules.RULES}
+    assert {r.metric for r in quality_rules.order_rules(df, wanted=wanted)[:4]} <= set(wanted)
     assert quality_rules.cascade(docs).count() == len(ROWS) and quality_rules.cascade(empty).collect() == []
 
 
@@ -130,7 +145,7 @@ def test_bpe_agrees_with_the_library():
     path = bpe.vocabulary_path()
     library, (merges, special) = tokenizers.Tokenizer.from_file(path), bpe.load(path)
     encoder, digester = bpe.TextEncoder(merges, special), bpe.Digester(merges, special)
-    viewer, names = bpe.TextEncoder(merges, special, digester.view), {i: t for t, i in special.items()}
+    viewer, meant = bpe.TextEncoder(merges, special, digester.view, digester.part), bpe.spelled_text(merges, special)
     rng = random.Random(1)
     alphabet = "abeinorsth'’ .,!?-019ÉéßΣςİ̧가각ᄀ漢\x1c\x85\xa0　\t\n#<|🙂"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)]
@@ -140,8 +155,8 @@ def test_bpe_agrees_with_the_library():
         want = library.encode(text, add_special_tokens=False).ids
         assert [i for block in encoder.encode(text) for run in block for i in run] == want
         n, ids, decoded, chars = digester.digest(viewer.encode(text))
-        machine = bpe.TextDecoder(merges, names)
-        plain = "".join(map(machine.feed, want)) + machine.end()
+        machine = bpe.TextDecoder(meant)
+        plain = "".join(machine.feed([i]) for i in want) + machine.end()
         assert (n, chars) == (len(want), len(plain)) and ids == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
         assert decoded == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
 
@@ -301,8 +316,30 @@ def test_katz_against_plain_counts(spark, docs, empty):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = katz.score(df, katz.fit(df)).collect()
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(want)
-    fixed = docs.coalesce(1).sortWithinPartitions("doc_id", "text")
-    assert katz.score(fixed, katz.fit(fixed)).count() == len(ROWS) and katz.score(empty, katz.fit(empty)).collect() == []
+    # Documents that the model wasn't fitted on, with words, pairs and histories that it doesn't know.
+    other = [(i, " ".join(rng.choice([*vocabulary[:50], "never", "seen"]) for _ in range(rng.randint(0, 30)))) for i in range(1_000, 1_080)] + [(1_100, "never seen"), (1_101, None)]
+    got = {r.doc_id: r.score for r in katz.score(spark.createDataFrame(other, "doc_id long, text string"), katz.fit(df)).collect()}
+    for i, text in other:
+        t = [*words(text), ""]
+        pairs = zip([" ", *t], t, strict=False)
+        s = sum(math.log10(d(d2, c2[p]) * c2[p] / model[p[0]][0]) if c2[p] else math.log10((model[p[0]][1] if p[0] in model else 1) * p1(p[1])) for p in pairs)
+        assert math.isclose(got[i], s, abs_tol=1e-6)
+    fitted = katz.fit(docs)
+    assert katz.score(docs, fitted).count() == len(ROWS) and katz.score(empty, fitted).collect() == []
+    assert katz.score(docs, katz.fit(empty)).where("n_known = 0").count() == len(ROWS)
+
+
+def test_katz_spreads_hot_words_and_cuts_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(katz, "BATCH_TOKENS", 50)
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["hot", "hot", "x", f"w{rng.randint(0, 300)}"]) for _ in range(rng.choice([3, 40, 400])))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = katz.fit(df)
+    assert katz._hash(b"hot") in model.hot.tolist() and katz._hash(b"w7") not in model.hot.tolist()
+    spread = {r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in katz.score(df, model).collect()}
+    monkeypatch.setattr(katz, "BATCH_TOKENS", 10_000)
+    monkeypatch.setattr(katz, "hot_words", lambda *_: np.empty(0, np.uint64))
+    assert spread == {r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in katz.score(df, katz.fit(df)).collect()}
 
 
 def test_html_layout(spark):
