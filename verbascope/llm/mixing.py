@@ -1,24 +1,24 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every source is a queue of its documents in a shuffled order, up to three passes long. A document's virtual finish time
-is the words of its queue up to and with it, divided by the source's weight. All items are sorted by finish time, and
-the mix is cut where its words reach the budget. A source whose passes run out leaves the rest to the others by
-weight, so the cut also shares out again what a capped target leaves.
+is the words of its queue up to and with it, divided by the source's weight. All items are sorted globally, by ranges of
+finish time, and the mix is cut where its words reach the budget. A source whose passes run out leaves the rest to the
+others by weight, so the cut also shares out again what a capped target leaves.
 
-No queue is ever ordered in one task: prefix sums run over (source, slice of the shuffle key), then inside the slices,
-and the global order is cut into ranges of finish time of which only the one that holds the cut is sorted.
+Orders are total and dealt over tasks by ranges: the queues by source and shuffle key, so that a source of any size
+takes as many tasks as it has rows, then all items by finish time. Running sums are those of the ranges before, one row
+per range, plus the range's own. Sources are a table like others; only totals and the place of the cut reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, WORD, numbered, stored, text_or_empty
+from .common import RANGE, ROW, WORD, join_hot, numbered, ranged, running, stored, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 PASSES = 3
-SLICE_ROWS = 10_000
 SEED = "mix-1"
 
 
@@ -26,24 +26,30 @@ def word_size(text_col: str = "text") -> Column:
     return F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
 
 
-def fair_targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, share: float = 1.0) -> dict[str | None, tuple[int, int, float]]:
-    """source -> (weight, size, target). sizes: one row per source, so it is bounded by the number of sources.
+def _name(source: Column) -> Column:
+    """Sources in their order: by code point, null last."""
+    return F.when(source.isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), source.cast("string")))
 
-    Sources take the weights in the order of their code points, null last. A target stops at passes times its source's
-    size, and the excess is shared again by weight until no target is above.
+
+def fair_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, share: float = 1.0) -> tuple[DataFrame, int]:
+    """sizes: _name, _total, one row per source. Adds _rank, _w and _target; with it comes the budget.
+
+    Sources take the weights in their order. A target stops at passes times its source's size, and the excess is shared
+    again by weight until no target is above: sources are filled in the order of what they can take per weight, and the
+    first that can't be filled from its share of what is left gives the level of all after it.
     """
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    rows = [(s, weights[i % len(weights)], n) for i, (s, n) in enumerate(order)]
-    total = sum(n for _, _, n in rows)
+    ranked = running(ranged(sizes.withColumn("_one", F.lit(1)), ["_name"], "mix-names"), ["_name"], "_one", "_rank")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("_rank") - 1, F.lit(len(weights))) + 1).cast("int")).cast("long")
+    ranked = ranked.drop("_one", RANGE).withColumns({"_w": weight, "_most": F.col("_total") * passes})
+    by = ["_ratio", "_rank"]
+    filled = ranged(ranked.withColumn("_ratio", F.col("_most") / F.col("_w")), by, "mix-sources")
+    filled = running(running(filled, by, "_most", "_full"), by, "_w", "_weights")
+    total, all_weights = sizes.agg(F.sum("_total")).first()[0] or 0, filled.agg(F.sum("_w")).first()[0]
     budget = total if share == 1.0 else int(total * share)
-    level, left, weight = 0.0, budget, sum(w for _, w, _ in rows)
-    for _, w, n in sorted(rows, key=lambda x: (passes * x[2] / x[1], x[0] is None, x[0] or "")):
-        level = left / weight
-        if passes * n > level * w:
-            break
-        left, weight = left - passes * n, weight - w
-        level = float("inf")
-    return {s: (w, n, float(passes * n) if passes * n <= level * w else level * w) for s, w, n in rows}
+    level = (F.lit(budget) - (F.col("_full") - F.col("_most"))).cast("double") / (F.lit(all_weights) - (F.col("_weights") - F.col("_w"))).cast("double")
+    first = filled.withColumn("_level", level).where(F.col("_most") > F.col("_level") * F.col("_w")).agg(F.min(F.struct(*by, "_level")).alias("x")).first()[0]
+    part = F.lit(first["_level"]) * F.col("_w") if first else F.lit(float("inf"))
+    return filled.select("_name", "_total", "_w", "_rank", F.least(F.col("_most").cast("double"), part).alias("_target"), *[c for c in sizes.columns if c not in ("_name", "_total")]), budget
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, share: float = 1.0, seed: str = SEED) -> DataFrame:
@@ -51,78 +57,49 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Size is the number of words; taken is size times the passes that lie before the cut, so a document is taken whole or
     not at all in each pass. Null text has size 0 and takes nothing. Null sources form one queue, the last. Ties of the
-    shuffle key go by id; rows that repeat an id and source are ordered among themselves by size, and equal ones share
-    one place in the order, so that reruns agree. An empty table gives no rows; other columns are ignored.
+    shuffle key go by id, then by size, then by a stored row number, so that also many equal rows spread over tasks; rows
+    equal in all else are interchangeable, so reruns agree. An empty table gives no rows; other columns are ignored.
     """
-    return _mix(docs, id_col, text_col, source_col, weights, passes, share, seed, []).withColumnRenamed("_id", id_col)
-
-
-def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], passes: int, share: float, seed: str, also: list[str]) -> DataFrame:
-    """The plan, with the id as _id and the columns of docs that also names."""
-    sized = stored(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_size(text_col).alias("_size"), *also), "mix-sizes")
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
-    sources = [(r[0], r[1]) for r in sized.groupBy("_source").agg(F.sum("_size")).collect()]
-    plan = fair_targets(sources, weights, passes, share)
-    rows = sized.count()
-    slices = max(1, -(-rows // SLICE_ROWS))
-    names = [(s, w, n, t, i) for i, (s, (w, n, t)) in enumerate(plan.items())]
-    table = sized.sparkSession.createDataFrame(names, "_s string, _w long, _total long, _target double, _rank int")
-    # The queues: prefix sums over the slices of each source, then in each slice.
-    queued = sized.join(table, F.col("_source").cast("string").eqNullSafe(F.col("_s"))).withColumn("_key", key)
-    queued = queued.withColumn("_slice", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / F.lit(2.0**32) * slices).cast("long"))
-    slice_sums = queued.groupBy("_rank", "_slice").agg(F.sum("_size").alias("_n"))
-    before = slice_sums.select(F.col("_rank").alias("_r"), F.col("_slice").alias("_l"), (F.sum("_n").over(Window.partitionBy("_rank").orderBy("_slice")) - F.col("_n")).alias("_before"))
-    inside = Window.partitionBy("_rank", "_slice").orderBy("_key", "_id", "_size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    queued = queued.withColumn("_cum", F.sum("_size").over(inside)).join(before, (F.col("_rank") == F.col("_r")) & (F.col("_slice") == F.col("_l")))
-    queued = stored(queued.select("_id", "_size", "_total", "_w", "_target", "_rank", "_key", (F.col("_before") + F.col("_cum")).alias("_end"), *also), "mix-queues")
-    budget = sum(n for _, n in sources) if share == 1.0 else int(sum(n for _, n in sources) * share)
-    cut = _cut(queued, budget, passes, plan, rows)
-    taken = sum((F.when(_in_mix(p, cut), 1).otherwise(0) for p in range(passes)), F.lit(0))
+    return _mix(docs, id_col, text_col, source_col, weights, passes, share, seed, F.monotonically_increasing_id()).withColumnRenamed("_id", id_col).drop(ROW)
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], passes: int, share: float, seed: str, row: Column) -> DataFrame:
+    """The plan, with the id as _id and the row's number."""
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
+    sized = stored(docs.select(F.col(id_col).alias("_id"), _name(F.col(source_col)).alias("_name"), word_size(text_col).alias("_size"), key.alias("_key"), row.alias(ROW)), "mix-sizes")
+    plan, budget = fair_targets(stored(sized.groupBy("_name").agg(F.sum("_size").alias("_total"), F.count(F.lit(1)).alias("_rows")), "mix-totals"), weights, passes, share)
+    order = ["_rank", "_key", "_id", "_size", ROW]
+    queued = join_hot(sized, stored(plan, "mix-plan"), "_name", "_rows").drop("_name", "_rows")
+    queued = stored(running(ranged(queued, order, "mix-queues"), order, "_size", "_end", ["_rank"]).drop(RANGE), "mix-ends")
+    cut = _cut(queued, budget, passes)
+    taken = sum((F.when(F.lit(True) if cut is None else F.struct(_finish(p).alias("_finish"), *_TIES) < cut, 1).otherwise(0) for p in range(passes)), F.lit(0))
     return queued.select(
-        "_id", F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * taken).cast("long").alias("taken"), _finish(0).alias("virtual_finish"), *also
+        "_id", F.col("_size").alias("size"), F.col("_total").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * taken).cast("long").alias("taken"), _finish(0).alias("virtual_finish"), ROW
     )
 
 
+#: What decides between items of one finish time.
+_TIES = ("_rank", "_key", "_id", ROW)
+
+
 def _finish(p: int | Column) -> Column:
     return (F.col("_end") + F.lit(p) * F.col("_total")).cast("double") / F.col("_w")
 
 
-def _in_mix(p: int, cut: tuple | None) -> Column:
-    """Whether an item lies before the first item that no longer fits."""
-    if cut is None:
-        return F.lit(True)
-    finish, rank, key, doc = cut
-    f = _finish(p)
-    later = (F.col("_key") < key) | ((F.col("_key") == key) & (F.col("_id") < doc)) if doc is not None else F.col("_key") < key
-    return (f < finish) | ((f == finish) & ((F.col("_rank") < rank) | ((F.col("_rank") == rank) & F.coalesce(later, F.lit(False)))))
-
-
-def _cut(queued: DataFrame, budget: int, passes: int, plan: dict, rows: int) -> tuple | None:
-    """The first item of the global order whose running total passes the budget: (finish, rank, key, id)."""
-    level = max((t / w for w, _, t in plan.values()), default=0.0)
-    if not level:
-        return None
-    ranges = max(64, -(-rows // SLICE_ROWS))
-    width = level * 1.25 / ranges  # beyond it all items fall in the last range
-    items = queued.where("_size > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn("_finish", _finish(F.col("_pass")))
-    items = items.withColumn("_range", F.least(F.lit(ranges), F.floor(F.col("_finish") / F.lit(width))).cast("long"))
-    total = 0
-    for r in items.groupBy("_range").agg(F.sum("_size").alias("_n")).orderBy("_range").toLocalIterator():
-        if total + r["_n"] > budget:
-            break
-        total += r["_n"]
-    else:
-        return None
-    running = F.sum("_size").over(Window.partitionBy("_range").orderBy("_finish", "_rank", "_key", "_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    over = items.where(F.col("_range") == r["_range"]).withColumn("_run", running + F.lit(total)).where(F.col("_run") > budget)
-    first = over.orderBy("_finish", "_rank", "_key", "_id").select("_finish", "_rank", "_key", "_id").first()
-    return tuple(first) if first else None
+def _cut(queued: DataFrame, budget: int, passes: int) -> Column | None:
+    """The first item of the global order whose running total passes the budget, None if none does."""
+    items = queued.where("_size > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).select(_finish(F.col("_pass")).alias("_finish"), *_TIES, "_size")
+    order = ["_finish", *_TIES]
+    over = running(ranged(items, order, "mix-items"), order, "_size", "_run").where(F.col("_run") > budget)
+    first = over.agg(F.min(F.struct(*order)).alias("x")).first()[0]
+    kinds = dict(items.dtypes)
+    return first and F.struct(*[F.lit(first[c]).cast(kinds[c]).alias(c) for c in order])
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The mix itself: each row as many times as it is taken, with the columns of docs, in no order. Ids may repeat or be null: rows have a number of their own. Rows without words are part of no queue and go."""
     rows = numbered(docs, "mix-rows")
-    plan = _mix(rows, id_col, "text", "source", WEIGHTS, PASSES, 1.0, SEED, [ROW]).where("taken > 0")
+    plan = _mix(rows, id_col, "text", "source", WEIGHTS, PASSES, 1.0, SEED, F.col(ROW)).where("taken > 0")
     plan = plan.select(F.col(ROW), F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int")).alias("__mix_copies"))
     return rows.join(plan, ROW).select(*docs.columns, F.explode("__mix_copies").alias("__mix_copy")).drop("__mix_copy")
 
@@ -135,7 +112,7 @@ SQL = {
     "op4_mix_sources": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(concat_ws('|', 'mix-1', coalesce(doc_id::VARCHAR, ''))) AS k
+         ('0x' || substr(md5(concat_ws('|', 'mix-1', coalesce(doc_id::VARCHAR, ''))), 1, 15))::BIGINT AS k
   FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
 s1 AS (
