@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -40,9 +41,11 @@ def _has_separators(text: str) -> bool:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; a temporary one only where none is set and all runs in one process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='verbascope-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -81,6 +84,49 @@ def stored_buckets(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame
     return spark.table(table)
 
 
+#: A key is hot if it has more rows than this and than one in HOT_SHARE of all; so there are never more than HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE, SALTS = 10_000, 10_000, 32
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of rows with a table that has one row per key; weight is its column with the number of rows of the key.
+
+    The rows of hot keys are dealt over SALTS tasks, and the table's row goes to each. Weights are read twice, so table
+    should be stored. The set of hot keys is broadcast: it has HOT_SHARE rows at most.
+    """
+    total, most = table.agg(F.sum(weight), F.max(weight)).first()
+    least = max(HOT_ROWS, (total or 0) // HOT_SHARE)
+    if (most or 0) <= least:
+        return rows.join(table, key)
+    hot = F.broadcast(table.where(F.col(weight) > least).select(key, F.lit(SALTS).alias("__salts")))
+    salt = F.pmod(F.monotonically_increasing_id(), F.coalesce("__salts", F.lit(1)).cast("long"))
+    dealt = rows.join(hot, key, "left").withColumn("__salt", salt).drop("__salts")
+    copies = F.sequence(F.lit(0).cast("long"), F.when(F.col(weight) > least, F.lit(SALTS - 1)).otherwise(0).cast("long"))
+    return dealt.join(table.withColumn("__salt", F.explode(copies)), [key, "__salt"]).drop("__salt")
+
+
+def ranged(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df dealt into ranges of a total order, with the number of its range as RANGE, stored. Rows that are equal in order must not be many."""
+    rows, most = df.count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = max(min(most, rows // LEAST_RANGE_ROWS + 1), -(-rows // RANGE_ROWS))
+    return stored(df.repartitionByRange(n, *order).withColumn(RANGE, F.spark_partition_id()), name)
+
+
+RANGE, RANGE_ROWS, LEAST_RANGE_ROWS = "__range", 1_000_000, 4_096
+
+
+def running(df: DataFrame, order: list[str], value: str, out: str, within: list[str] = ()) -> DataFrame:
+    """The running sum of value in the order of ranged(), over all rows or within groups that order begins with.
+
+    Sums of the ranges are added up first, one row per range and group; then each range is summed by itself.
+    """
+    sums = df.groupBy(*within, RANGE).agg(F.sum(value).alias("__sum"))
+    before = sums.select(*[F.col(c).alias(f"__{c}") for c in within], F.col(RANGE).alias("__at"), (F.sum("__sum").over(Window.partitionBy(*within).orderBy(RANGE)) - F.col("__sum")).alias("__before"))
+    here = F.sum(value).over(Window.partitionBy(RANGE, *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"__{c}")), within, F.col(RANGE) == F.col("__at"))
+    return df.withColumn("__here", here).join(before, same).withColumn(out, F.col("__here") + F.col("__before")).drop("__here", "__at", "__before", *[f"__{c}" for c in within])
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a stored table that nothing reads any more."""
     spark = df.sparkSession

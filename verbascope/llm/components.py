@@ -1,7 +1,8 @@
 """Connected components of an edge table, on DataFrames only: alternating large and small stars.
 
 Nodes are longs. Edges are replaced by edges to the smallest neighbour until every node points to the smallest node of
-its component. No neighbourhood is gathered anywhere: minima are partial aggregates, and joins spread hot nodes.
+its component. No neighbourhood is gathered anywhere: minima are partial aggregates, and joins
+deal the edges of hot nodes over many tasks. Only the last round's tables stay.
 """
 
 from __future__ import annotations
@@ -9,11 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-
-
-def _toward_smallest(edges: DataFrame, smallest: DataFrame) -> DataFrame:
-    return edges.join(smallest, "u")
+from .common import dropped, join_hot, stored
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -23,13 +20,16 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     for _ in range(rounds):
         # Large star: larger neighbours move to the smallest of the neighbours and the node itself.
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "edges-low")
-        large = _toward_smallest(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "edges-low")
+        large = join_hot(both.where("v > u"), low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, "edges-large")
         # Small star: smaller neighbours and the node itself move to the smallest of them.
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "edges-low")
-        small = _toward_smallest(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        now = stored(small.where("u <> v").distinct(), "edges")
+        dropped(low)
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "edges-low")
+        small = join_hot(large, low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
+        last, now = now, stored(small.where("u <> v").distinct(), "edges")
+        for table in (last, large, low):
+            dropped(table)
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -14,12 +14,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, ROW, UPPER, numbered, stored
+from .common import LOWER, ROW, UPPER, join_hot, numbered, stored
 from .components import components
 
 SHINGLE, RADIUS = 3, 2
 #: Fingerprints that one shard holds at home, on average; the size that the finer trees go down to.
-SHARD, BLOCK = 16_384, 192
+SHARD, BLOCK = 131_072, 192
 #: The most fingerprints that the driver sees when it builds the coarse tree.
 SAMPLE = 20_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -188,20 +188,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives no rows; other columns are ignored.
     """
     fps = stored(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    heads = stored(_groups(fps, radius).select(F.col("fp").alias("_fp"), "component_id"), "simhash-heads")
-    out = fps.join(heads, F.col("fp") == F.col("_fp"))
+    heads = stored(_groups(fps, radius).select("fp", "component_id", "size"), "simhash-heads")
+    out = join_hot(fps, heads, "fp", "size")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _groups(fps: DataFrame, radius: int) -> DataFrame:
-    """fp, component, component_id of each fingerprint. Fingerprints themselves are the nodes, as ids may repeat or be null; component is the smallest one of the group."""
-    distinct = stored(fps.groupBy("fp").agg(F.min("id").cast("long").alias("rep")), "simhash-distinct")
+    """fp, size (rows that have it), component, component_id of each fingerprint. Fingerprints themselves are the nodes, as ids may repeat or be null; component is the smallest one of the group."""
+    distinct = stored(fps.groupBy("fp").agg(F.min("id").cast("long").alias("rep"), F.count(F.lit(1)).alias("size")), "simhash-distinct")
     n = distinct.count()
     sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
     nodes = build_tree(sample, -(-n // SHARD))
     edges = components(_shard_edges(distinct.select("fp", F.col("fp").alias("rep")), nodes, radius))
-    heads = stored(distinct.join(edges, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "simhash-groups")
-    return heads.select("fp", "component").join(heads.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
+    heads = stored(distinct.join(edges, F.col("fp") == F.col("node"), "left").select("fp", "rep", "size", F.coalesce("component", "fp").alias("component")), "simhash-groups")
+    groups = stored(heads.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("fps")), "simhash-components")
+    return join_hot(heads.select("fp", "size", "component"), groups, "component", "fps").select("fp", "size", "component", "component_id")
 
 
 def _shard_edges(usable: DataFrame, nodes: list, radius: int) -> DataFrame:
@@ -235,7 +236,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = numbered(docs, "simhash-rows")
     read = fingerprints(rows, ROW, text_col).withColumnRenamed("id", "row")
     fps = stored(read.join(rows.select(F.col(ROW).alias("row"), F.col(id_col).alias("id")), "row"), "simhash")
-    best = fps.join(_groups(fps, RADIUS), "fp").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
+    best = join_hot(fps, stored(_groups(fps, RADIUS), "simhash-heads"), "fp", "size").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
     return rows.join(best.select(F.col("best.row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
