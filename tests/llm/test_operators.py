@@ -87,9 +87,37 @@ def test_mixing_targets_and_order(spark, docs, empty):
     assert mixing.mix(empty).collect() == [] and mixing.mixed_documents(docs).columns == docs.columns
 
 
-def test_fair_targets_caps_and_shares_again():
-    plan = mixing.fair_targets([("a", 10), ("b", 1000), (None, 0)])
-    assert plan["a"][2] == 30.0 and math.isclose(plan["b"][2], 980.0) and plan[None][2] == 0.0
+def test_fair_targets_caps_and_shares_again(spark, monkeypatch):
+    from verbascope.llm import common
+
+    monkeypatch.setattr(common, "LEAST_RANGE_ROWS", 3)
+    got, budget = mixing.fair_targets(spark.createDataFrame([("sa", 10), ("sb", 1000), ("t", 0)], "_name string, _total long"))
+    plan = {r._name: r._target for r in got.collect()}
+    assert plan["sa"] == 30.0 and math.isclose(plan["sb"], 980.0) and plan["t"] == 0.0 and budget == 1010
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randint(0, 50), f"s{rng.randint(0, 25):03}" if rng.random() < 0.5 else "s007") for i in range(500)]
+    sizes, target = plain_mix(rows)
+    got, _ = mixing.fair_targets(spark.createDataFrame([(f"s{k}", n) for k, n in sizes.items()], "_name string, _total long"))
+    assert all(math.isclose(r._target, target[r._name[1:]], abs_tol=1e-9) for r in got.collect())
+
+
+def test_mixing_hot_source_and_equal_rows(spark, monkeypatch):
+    from verbascope.llm import common
+
+    for name, value in (("LEAST_RANGE_ROWS", 20), ("HOT_ROWS", 50), ("SALTS", 4)):
+        monkeypatch.setattr(common, name, value)
+    rows = [(None, "a b c", "hot")] * 300 + [(i, "w " * (i % 9), "hot") for i in range(200)] + [(i, "x y", f"s{i % 7}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df).collect()
+    sizes, target = plain_mix(rows)
+    name = {n: s for s, n in sizes.items()}
+    taken = Counter()
+    for r in got:
+        taken[r.source_size, round(r.target, 6)] += r.taken
+    want = Counter()
+    for s in sizes:
+        want[sizes[s], round(target[s], 6)] += target[s]
+    assert len(got) == len(rows) and name and all(abs(taken[k] - want[k]) <= 9 * len(sizes) for k in want) and sum(taken.values()) <= sum(sizes.values())
 
 
 def test_url_filter(spark):
