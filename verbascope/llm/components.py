@@ -7,12 +7,35 @@ deal the edges of hot nodes over many tasks. Only the last round's tables stay.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, join_hot, stored
 
 
+def find(root: np.ndarray, x: np.ndarray) -> np.ndarray:
+    r = root[x]
+    while True:
+        up = root[r]
+        if np.array_equal(up, r):
+            root[x] = r
+            return r
+        r = up
+
+
+def join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Hooks the larger root under the smaller one until the pairs agree."""
+    while True:
+        ra, rb = find(root, a), find(root, b)
+        differ = ra != rb
+        if not differ.any():
+            return
+        a, b = a[differ], b[differ]
+        low, high = np.minimum(ra[differ], rb[differ]), np.maximum(ra[differ], rb[differ])
+        np.minimum.at(root, high, low)
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """edges: columns u, v; any direction, repeats and loops allowed, nulls ignored. Gives node, component for each node that has an edge to another."""
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")

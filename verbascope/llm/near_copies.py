@@ -1,9 +1,11 @@
-"""Near copies by word shingles: every pair of texts whose shingle sets have a Jaccard similarity of 0.8 or more is linked.
+"""Near copies by word shingles: what links every pair of texts whose shingle sets have a Jaccard similarity of 0.8 or more.
 
 An exact join by prefixes. With all shingles in one global order, two sets that similar share a shingle among the first
 fifth of either. Common shingles come last in the order, so few texts meet; where they meet, sizes and positions rule
-most pairs out, and what is left is compared in full. A crowd that meets at one shingle first compares with a hub; only
-what is still apart after that compares with each other. Counts of common shingles steer the order, not the result.
+most pairs out. Each text also has parity bits: how many of its shingles fall into each of many bins, modulo two. Sets
+differ in at least as many shingles as their bits differ, which rules out nearly all of the rest. Pairs that may be
+similar are compared in full, but not all of a crowd: two rounds send on a spanning forest of what is still apart, the
+last one what is then left. Counts of common shingles steer the order, not the result.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ROW, UPPER, numbered, stored
-from .components import components
+from .common import LOWER, ROW, UPPER, join_hot, stored
+from .components import components, find, join
 
 SHINGLE = 5
 #: Similarity as a fraction, so that comparing needs no rounding.
@@ -23,7 +25,10 @@ PART, WHOLE = 4, 5
 #: Shingles that a task counts at a time, and how often one must come to be called common; the most of them that the driver sees.
 CHUNK, COMMON, MOST_COMMON = 1 << 20, 3, 100_000
 BUCKET_ROWS = 250_000
-STARS = 2
+#: Rounds that compare a spanning forest before the one that compares all.
+FORESTS = 2
+#: The most parity bits of a text; there are two for each shingle at least, up to this. Fewer only rule out less.
+MOST_BITS = 4_096
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -47,6 +52,26 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return (PART + WHOLE) * len(np.intersect1d(a, b, assume_unique=True)) >= PART * (len(a) + len(b))
 
 
+def parity(found: np.ndarray) -> bytes:
+    bins = 64
+    while bins < min(2 * len(found), MOST_BITS):
+        bins *= 2
+    return np.packbits(np.bincount((found & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which a differs from each row of b; the longer ones are folded to the shorter, as if they had fewer bins."""
+    size = min(len(a), b.shape[1])
+    fold = lambda x: np.bitwise_xor.reduce(x.reshape(*x.shape[:-1], -1, size), axis=-2)
+    return np.bitwise_count(fold(a) ^ fold(b)).sum(axis=-1, dtype=np.int64)
+
+
+def fingerprint(found: np.ndarray) -> int:
+    """A SimHash of the set: a bit is set if it is in more than half of the shingles."""
+    ones = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.int64)[0])
+
+
 def prefix(found: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first of the shingles in the global order: as many as may be missing from a similar set, and one."""
     often = np.zeros(len(found), np.int64)
@@ -62,8 +87,8 @@ def may_match(n: np.ndarray, at: np.ndarray, m: np.ndarray, to: np.ndarray) -> n
     return (PART + WHOLE) * np.minimum(n - at, m - to) >= PART * (n + m)
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per row with its number, id, digest of its shingle set and size; and rows without number: a common shingle and its count in one chunk."""
+def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per row with its number, id, digest of its shingle set, size, parity bits and fingerprint; and rows without number: a common shingle and its count in one chunk."""
 
     def run(batches):
         import pyarrow as pa
@@ -75,9 +100,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             values, counts = np.unique(np.concatenate(kept), return_counts=True)
             many = counts >= COMMON
             k = int(many.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, id_type), pa.array(values[many].view(np.int64)), pa.nulls(k, pa.int64()), pa.array(counts[many])], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, id_type), pa.array(values[many].view(np.int64)), pa.nulls(k, pa.int64()), pa.array(counts[many]), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names=names)
 
-        names = ["row", "id", "a", "b", "n"]
+        names = ["row", "id", "a", "b", "n", "bits", "fp"]
         id_type = pa.null()
         for batch in batches:
             id_type = batch.column(1).type
@@ -85,7 +110,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 part = batch.slice(at, 1024)
                 sets = [shingles(t) for t in part.column(2).to_pylist()]
                 digests = np.frombuffer(b"".join(xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(map(parity, sets)), pa.binary()), pa.array(list(map(fingerprint, sets)), pa.int64())], names=names)
                 kept += sets
                 size += sum(map(len, sets))
                 if size >= CHUNK:
@@ -95,7 +120,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield counted()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(ROW, F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"row long, id {kind}, a long, b long, n long")
+    return docs.select(ROW, F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"row long, id {kind}, a long, b long, n long, bits binary, fp long")
 
 
 def _shared(texts: DataFrame, common: np.ndarray, counts: np.ndarray, buckets: int) -> DataFrame:
@@ -127,29 +152,51 @@ def _shared(texts: DataFrame, common: np.ndarray, counts: np.ndarray, buckets: i
     return heads.groupBy("bucket").applyInArrow(repeated, "shingle long, row long, n int, at int")
 
 
-def _candidates(shared: DataFrame, buckets: int, star: int | None) -> DataFrame:
-    """Pairs u < v of rows that meet, in different components: with star those of each shingle's hub, another one for each star; without all."""
+def _candidates(shared: DataFrame, buckets: int, forest: bool) -> DataFrame:
+    """Pairs u < v of rows that meet in different components and may be similar: a spanning forest of them for each bucket, or all."""
 
     def pairs(table):
         import pyarrow as pa
 
         shingle, row, n, at, comp = (table.column(c).to_numpy() for c in ("shingle", "row", "n", "at", "component"))
+        bits = table.column("bits").to_pylist()
         n, at = n.astype(np.int64), at.astype(np.int64)
+        length = np.fromiter(map(len, bits), np.int64, len(bits))
+        place = np.zeros(len(bits), np.int64)  # in the matrix of all bits of one length
+        byte = {}
+        for size in np.unique(length).tolist():
+            where = np.flatnonzero(length == size)
+            place[where] = np.arange(len(where))
+            byte[size] = np.frombuffer(b"".join(bits[i] for i in where.tolist()), np.uint8).reshape(-1, size)
+        del bits
+
+        def apart(x: int, others: np.ndarray) -> np.ndarray:
+            """Those of others that may be similar to x and are not in its component."""
+            others = others[find(root, label[others]) != find(root, label[x : x + 1])[0]]
+            others = others[may_match(n[x], at[x], n[others], at[others])]
+            if not len(others):
+                return others
+            fewest = np.empty(len(others), np.int64)
+            for size in np.unique(length[others]).tolist():
+                of = length[others] == size
+                fewest[of] = differing(byte[int(length[x])][place[x]], byte[size][place[others[of]]])
+            return others[(PART + WHOLE) * fewest <= (WHOLE - PART) * (n[x] + n[others])]
+
+        _, label = np.unique(comp, return_inverse=True)
+        root = np.arange(label.max() + 1 if len(label) else 0)
         order = np.lexsort((row, n, shingle))
         starts = np.nonzero(np.diff(shingle[order], prepend=shingle[order][:1] - 1))[0].tolist()
-        seen = [np.empty((0, 2), np.int64)]
-        size = 0
+        seen, size = [np.empty((0, 2), np.int64)], 0
         for a, b in zip(starts, [*starts[1:], len(order)]):
             group = order[a:b]
-            if b - a < 2 or (comp[group] == comp[group[0]]).all():
-                continue
-            hubs = range(len(group)) if star is None else [len(group) * (star + 1) // (STARS + 1)]
-            for h in hubs:
-                x = group[h]
-                others = group[h + 1 :] if star is None else np.delete(group, h)
-                others = others[(comp[others] != comp[x]) & may_match(n[x], at[x], n[others], at[others])]
+            for h in range(len(group) - 1):
+                others = apart(group[h], group[h + 1 :])
+                if forest and len(others):  # one edge to each component
+                    _, first = np.unique(find(root, label[others]), return_index=True)
+                    others = others[first]
+                    join(root, label[others], np.full(len(others), label[group[h]]))
                 if len(others):
-                    seen.append(np.stack([np.minimum(row[others], row[x]), np.maximum(row[others], row[x])], 1))
+                    seen.append(np.stack([np.minimum(row[others], row[group[h]]), np.maximum(row[others], row[group[h]])], 1))
                     size += len(others)
             if size > 1_000_000:
                 seen, size = [np.unique(np.concatenate(seen), axis=0)], 0
@@ -160,7 +207,9 @@ def _candidates(shared: DataFrame, buckets: int, star: int | None) -> DataFrame:
     return keyed.groupBy("bucket").applyInArrow(pairs, "u long, v long").distinct()
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs u, v of row numbers whose texts are similar."""
+
     def compare(batches):
         import pyarrow as pa
 
@@ -169,45 +218,35 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             u, v = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             yield batch.select(["u", "v"]).filter(pa.array([similar(sets(a), sets(b)) for a, b in zip(u, v)], pa.bool_()))
 
-    one = pairs.join(texts.select(F.col(ROW).alias("u"), F.col("text").alias("x")), "u")
-    both = one.join(texts.select(F.col(ROW).alias("v"), F.col("text").alias("y")), "v")
-    return both.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long")
+    one = _with_text(pairs, texts, "u", "x")
+    return _with_text(one, texts, "v", "y").select("u", "v", "x", "y").mapInArrow(compare, "u long, v long")
 
 
-def links(texts: DataFrame, common: np.ndarray, counts: np.ndarray, total: int) -> DataFrame:
-    """node, component over the row numbers of texts (row number, text; no two shingle sets the same). total: all their shingles."""
+def _with_text(pairs: DataFrame, texts: DataFrame, at: str, out: str) -> DataFrame:
+    return pairs.join(texts.select(F.col(ROW).alias(at), F.col("text").alias(out)), at)
+
+
+def links(texts: DataFrame, described: DataFrame, common: np.ndarray, counts: np.ndarray, total: int, edges: DataFrame) -> DataFrame:
+    """node, component over the row numbers of texts (row number, text; no two shingle sets the same).
+
+    described: rep, bits; total: all shingles; edges: u, v, similar pairs that are known already.
+    """
     buckets = max(64, -(-total // WHOLE // BUCKET_ROWS))
     shared = stored(_shared(texts, common, counts, buckets), "near-shared")
+    shared = stored(shared.join(described.select(F.col("rep").alias("row"), "bits"), "row"), "near-meetings")
     some = stored(texts.join(shared.select(F.col("row").alias(ROW)).distinct(), ROW, "left_semi"), "near-texts")
-    edges, found = None, None
-    for star in [*range(STARS), None]:
-        if found is None:
-            now = shared.withColumn("component", F.col("row"))
-        else:
-            now = shared.join(found, F.col("row") == F.col("node"), "left").select(*shared.columns, F.coalesce("component", "row").alias("component"))
-        pairs = stored(_candidates(now, buckets, star), "near-pairs")
-        new = stored(_linked(pairs, some), "near-links")
-        edges = new if edges is None else edges.unionAll(new)
+    found = components(edges)
+    for forest in [*[True] * FORESTS, False]:
+        now = shared.join(found, F.col("row") == F.col("node"), "left").select(*shared.columns, F.coalesce("component", "row").alias("component"))
+        pairs = stored(_candidates(now, buckets, forest), "near-pairs")
+        edges = edges.unionAll(stored(linked(pairs, some), "near-links"))
         found = components(edges)
     return found
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near copies, with all columns of docs: that with the smallest id; among equal ids any one, an id before none.
-
-    Words are as in the fingerprints: runs of anything but ASCII white space, A-Z lower-cased. Null and empty texts and those without words are
-    equal. Rows are told apart by a number of their own, so ids may repeat or be null. An empty table gives no rows.
-    """
-    rows = numbered(docs, "near-rows")
-    read = stored(_rows(rows, id_col, text_col), "near-sets")
-    sets = read.where("row is not null")
-    groups = stored(sets.groupBy("a", "b").agg(F.min("row").alias("rep"), F.max("n").alias("n")), "near-groups")
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    often = read.where("row is null").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(MOST_COMMON).toArrow()
+def common_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles, sorted, and their counts."""
+    often = described.where("row is null").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(MOST_COMMON).toArrow()
     common, counts = often.column("a").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(common)
-    texts = rows.select(ROW, F.col(text_col).alias("text")).join(groups.select(F.col("rep").alias(ROW)), ROW, "left_semi")
-    found = links(texts, common[order], counts[order], total)
-    heads = groups.join(found, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
-    best = sets.join(heads, ["a", "b"]).groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
-    return rows.join(best.select(F.col("best.row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
+    return common[order], counts[order]

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, ROW, UPPER, join_hot, numbered, stored
-from .components import components
+from . import near_copies
+from .components import components, join
 
 SHINGLE, RADIUS = 3, 2
 #: Fingerprints that one shard holds at home, on average; the size that the finer trees go down to.
@@ -143,7 +144,7 @@ def forest(home: np.ndarray, query: np.ndarray, radius: int = RADIUS, block: int
                 a, b = part[a], other[k : k + 8192][b]
                 keep = a != b
                 if keep.any():
-                    _join(root, a[keep], b[keep])
+                    join(root, a[keep], b[keep])
     root = _flat(root)
     moved = np.nonzero(root != np.arange(len(fps)))[0]
     return moved, root[moved]
@@ -157,28 +158,6 @@ def _flat(root: np.ndarray) -> np.ndarray:
         root = up
 
 
-def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Hooks the larger root under the smaller one until the pairs agree."""
-    while True:
-        ra, rb = _find(root, a), _find(root, b)
-        differ = ra != rb
-        if not differ.any():
-            return
-        a, b = a[differ], b[differ]
-        low, high = np.minimum(ra[differ], rb[differ]), np.maximum(ra[differ], rb[differ])
-        np.minimum.at(root, high, low)
-
-
-def _find(root: np.ndarray, x: np.ndarray) -> np.ndarray:
-    r = root[x]
-    while True:
-        up = root[r]
-        if np.array_equal(up, r):
-            root[x] = r
-            return r
-        r = up
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row per row of docs: id (a whole number), fingerprint (16 hex digits), component_id.
 
@@ -196,15 +175,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _groups(fps: DataFrame, radius: int) -> DataFrame:
     """fp, size (rows that have it), component, component_id of each fingerprint. Fingerprints themselves are the nodes, as ids may repeat or be null; component is the smallest one of the group."""
     distinct = stored(fps.groupBy("fp").agg(F.min("id").cast("long").alias("rep"), F.count(F.lit(1)).alias("size")), "simhash-distinct")
-    n = distinct.count()
-    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
-    nodes = build_tree(sample, -(-n // SHARD))
+    nodes = _coarse_tree(distinct)
     edges = components(_shard_edges(distinct.select("fp", F.col("fp").alias("rep")), nodes, radius))
     heads = stored(distinct.join(edges, F.col("fp") == F.col("node"), "left").select("fp", "rep", "size", F.coalesce("component", "fp").alias("component")), "simhash-groups")
     groups = stored(heads.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("fps")), "simhash-components")
     return join_hot(heads.select("fp", "size", "component"), groups, "component", "fps").select("fp", "size", "component", "component_id")
 
 
+def _coarse_tree(distinct: DataFrame) -> list:
+    sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
+    return build_tree(sample, -(-distinct.count() // SHARD))
+
+
 def _shard_edges(usable: DataFrame, nodes: list, radius: int) -> DataFrame:
     def assign(batches):
         import pyarrow as pa
@@ -232,13 +214,38 @@ def _shard_edges(usable: DataFrame, nodes: list, radius: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, with all columns of docs: that with the smallest id, a null id only where all are; of rows that share it the first by a stored number."""
-    rows = numbered(docs, "simhash-rows")
-    read = fingerprints(rows, ROW, text_col).withColumnRenamed("id", "row")
-    fps = stored(read.join(rows.select(F.col(ROW).alias("row"), F.col(id_col).alias("id")), "row"), "simhash")
-    best = join_hot(fps, stored(_groups(fps, RADIUS), "simhash-heads"), "fp", "size").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
+    """One row of each group of near copies, with all columns of docs: that with the smallest id; among equal ids any one, an id before none.
+
+    Near copies have a Jaccard similarity of near_copies.PART / WHOLE or more over shingles of near_copies.SHINGLE words.
+    Words are as in the fingerprints; texts without words are equal. Rows are told apart by a number of their own, so ids
+    may repeat or be null. An empty table gives no rows.
+
+    Fingerprints within the radius, found by the trees, are compared in full first. That links copies that hardly differ.
+    Of pairs at the similarity itself fingerprints differ in ten bits on average, a distance at which no tree prunes; the
+    pairs that are still apart come from an exact join by prefixes (near_copies), so that no link is lost.
+    """
+    rows = numbered(docs, "near-rows")
+    read = stored(near_copies.described(rows, id_col, text_col), "near-sets")
+    sets = read.where("row is not null")
+    groups = stored(sets.groupBy("a", "b").agg(F.min(F.struct("row", "n", "bits", "fp")).alias("x"), F.count(F.lit(1)).alias("rows")).select("a", "b", "rows", F.col("x.row").alias("rep"), "x.n", "x.bits", "x.fp"), "near-groups")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    texts = rows.select(ROW, F.col(text_col).alias("text")).join(groups.select(F.col("rep").alias(ROW)), ROW, "left_semi")
+    near = stored(_near_prints(groups.select("fp", "rep")), "near-prints")
+    known = stored(near_copies.linked(near, texts), "near-links")
+    found = near_copies.links(texts, groups, *near_copies.common_shingles(read), total, known)
+    heads = stored(groups.join(found, F.col("rep") == F.col("node"), "left").select("a", "b", "rows", F.coalesce("component", "rep").alias("component")), "near-heads")
+    whole = heads.withColumn("set", F.struct("a", "b")).select("set", "rows", "component")
+    best = join_hot(sets.select(F.struct("a", "b").alias("set"), "id", "row"), whole, "set", "rows").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
     return rows.join(best.select(F.col("best.row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
+def _near_prints(prints: DataFrame) -> DataFrame:
+    """u, v: edges that join all whose fingerprints lie within the radius. prints: fp, rep."""
+    heads = stored(prints.groupBy("fp").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("size")), "near-heads-of-prints")
+    same = join_hot(prints, heads, "fp", "size").where("rep <> head").select(F.col("head").alias("u"), F.col("rep").alias("v"))
+    nodes = _coarse_tree(heads)
+    return same.unionAll(_shard_edges(heads.select("fp", F.col("head").alias("rep")), nodes, RADIUS))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
