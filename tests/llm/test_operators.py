@@ -278,11 +278,11 @@ def test_vantage_point_shards_find_every_pair():
         at = np.concatenate([home, query])
         homes += len(home)
         a, b = simhash.forest(points[home], points[query], block=32)
-        simhash._join(found, at[a], at[b])
+        components.join(found, at[a], at[b])
     want = np.arange(len(points))
     for k in range(0, len(points), 500):
         a, b = np.nonzero(np.bitwise_count(points[k : k + 500][:, None] ^ points[None, :]) <= 2)
-        simhash._join(want, a + k, b)
+        components.join(want, a + k, b)
     assert homes == len(points) and np.array_equal(simhash._flat(found), simhash._flat(want))
 
 
@@ -455,21 +455,19 @@ def near_rows():
 
 
 def test_near_copies_finds_every_pair(spark):
-    from verbascope.llm import near_copies
-
     rows = near_rows()
     groups = defaultdict(list)
     for (i, t), c in zip(rows, plain_near(rows), strict=True):
         groups[c].append((i, t))
     assert len(groups) < len(rows) - 40
-    got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     left = Counter()
     for r in got:
         c = next(c for c, g in groups.items() if (r.doc_id, r.text) in g)
         left[c] += 1
         assert r.doc_id == min((i for i, _ in groups[c] if i is not None), default=None)
     assert left == Counter(dict.fromkeys(groups, 1))
-    assert near_copies.one_of_each(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    assert simhash.one_of_each(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
 def test_mixed_documents_are_what_the_mix_takes(spark):
@@ -490,6 +488,7 @@ def test_one_row_of_each_group_whatever_the_ids(spark):
     kept = lambda f, rows: sorted(map(tuple, f(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert kept(exact_dedup.keep_one, [(1, "a"), (2, "a"), (1, "b"), (1, "b"), (None, "A"), (None, "c"), (None, "c")]) == [(1, "b"), (2, "a"), (None, "c")]
     assert kept(simhash.one_of_each, [(0, near), (1, a), (1, b), (1, b), (None, "no id"), (None, "no id"), (None, b)]) == [(0, near), (1, b), (None, "no id")]
+    assert kept(simhash.one_of_each, []) == []
 
 
 def test_html_stray_quotes_and_form_text():
@@ -499,3 +498,16 @@ def test_html_stray_quotes_and_form_text():
     assert show("<p title='a > b' x = \"c > d\" y=>shown</p>") == "shown"
     assert show("<head><title>t</title>Hello") == "Hello"
     assert show("<textarea>in a field</textarea> <select><option>one<option>two</select> <svg><text>drawn</text></svg> <math><mi>x</mi></math>").split() == "in a field one two drawn x".split()
+
+
+def test_parity_bits_never_rule_out_a_similar_pair():
+    from verbascope.llm import near_copies
+
+    rng = np.random.default_rng(4)
+    for n in (1, 4, 9, 40, 300, 5_000):
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([rng.permutation(a)[int(n * rng.random() * 0.3) :], rng.integers(0, 2**63, int(n * rng.random() * 0.3)).astype(np.uint64)]))
+            x, y = (np.frombuffer(near_copies.parity(s), np.uint8) for s in (a, b))
+            fewest = int(near_copies.differing(x, y[None, :])[0])
+            assert fewest <= len(np.setxor1d(a, b)) and (not near_copies.similar(a, b) or 9 * fewest <= len(a) + len(b))
