@@ -4,8 +4,8 @@ An exact join by prefixes. With all shingles in one global order, two sets that
 fifth of either. Common shingles come last in the order, so few texts meet; where they meet, sizes and positions rule
 most pairs out. Each text also has parity bits: how many of its shingles fall into each of many bins, modulo two. Sets
 differ in at least as many shingles as their bits differ, which rules out nearly all of the rest. Pairs that may be
-similar are compared in full, but not all of a crowd: two rounds send on a spanning forest of what is still apart, the
-last one what is then left. Counts of common shingles steer the order, not the result.
+similar are compared in full, but not all of a crowd: the first rounds send on a spanning forest of pairs that are likely
+to be similar and still apart, the last one what is then left. Counts of common shingles steer the order, not the result.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ PART, WHOLE = 4, 5
 #: Shingles that a task counts at a time, and how often one must come to be called common; the most of them that the driver sees.
 CHUNK, COMMON, MOST_COMMON = 1 << 20, 3, 100_000
 BUCKET_ROWS = 250_000
-#: Rounds that compare a spanning forest before the one that compares all.
-FORESTS = 2
+#: Rounds that compare a spanning forest before the one that compares all: of pairs whose estimated difference is no more than these shares of what is allowed.
+FORESTS = (0.85, 1.05)
 #: The most parity bits of a text; there are two for each shingle at least, up to this. Fewer only rule out less.
 MOST_BITS = 4_096
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -66,6 +66,11 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fold(a) ^ fold(b)).sum(axis=-1, dtype=np.int64)
 
 
+def estimated(bits: np.ndarray, bins: int) -> np.ndarray:
+    """How many shingles differ where so many of the parity bits do."""
+    return -bins / 2 * np.log1p(-np.minimum(2 * bits / bins, 0.99))
+
+
 def fingerprint(found: np.ndarray) -> int:
     """A SimHash of the set: a bit is set if it is in more than half of the shingles."""
     ones = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -152,8 +157,8 @@ def _shared(texts: DataFrame, common: np.ndarray, counts: np.ndarray, buckets: i
     return heads.groupBy("bucket").applyInArrow(repeated, "shingle long, row long, n int, at int")
 
 
-def _candidates(shared: DataFrame, buckets: int, forest: bool) -> DataFrame:
-    """Pairs u < v of rows that meet in different components and may be similar: a spanning forest of them for each bucket, or all."""
+def _candidates(shared: DataFrame, buckets: int, forest: float | None) -> DataFrame:
+    """Pairs u < v of rows that meet in different components and may be similar: all, or for each bucket a spanning forest of those that are likely to be, by this share of the difference allowed."""
 
     def pairs(table):
         import pyarrow as pa
@@ -176,11 +181,12 @@ def _candidates(shared: DataFrame, buckets: int, forest: bool) -> DataFrame:
             others = others[may_match(n[x], at[x], n[others], at[others])]
             if not len(others):
                 return others
-            fewest = np.empty(len(others), np.int64)
+            differ = np.empty(len(others))
             for size in np.unique(length[others]).tolist():
                 of = length[others] == size
-                fewest[of] = differing(byte[int(length[x])][place[x]], byte[size][place[others[of]]])
-            return others[(PART + WHOLE) * fewest <= (WHOLE - PART) * (n[x] + n[others])]
+                fewest = differing(byte[int(length[x])][place[x]], byte[size][place[others[of]]])
+                differ[of] = estimated(fewest, 8 * min(size, int(length[x]))) / forest if forest else fewest
+            return others[(PART + WHOLE) * differ <= (WHOLE - PART) * (n[x] + n[others])]
 
         _, label = np.unique(comp, return_inverse=True)
         root = np.arange(label.max() + 1 if len(label) else 0)
@@ -236,7 +242,7 @@ def links(texts: DataFrame, described: DataFrame, common: np.ndarray, counts: np
     shared = stored(shared.join(described.select(F.col("rep").alias("row"), "bits"), "row"), "near-meetings")
     some = stored(texts.join(shared.select(F.col("row").alias(ROW)).distinct(), ROW, "left_semi"), "near-texts")
     found = components(edges)
-    for forest in [*[True] * FORESTS, False]:
+    for forest in [*FORESTS, None]:
         now = shared.join(found, F.col("row") == F.col("node"), "left").select(*shared.columns, F.coalesce("component", "row").alias("component"))
         pairs = stored(_candidates(now, buckets, forest), "near-pairs")
         edges = edges.unionAll(stored(linked(pairs, some), "near-links"))
