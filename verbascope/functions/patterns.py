@@ -3,38 +3,56 @@
 \\w, \\s and \\b of Java regexes are ASCII or differ between versions, so every class is spelled out.
 """
 
+import re
+
 WS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 #: White space that stays on its line.
 WS_IN_LINE = r"\t\x0b-\r\x1c-\x20\x85\xa0  -     　"
-W = r"[\p{L}\p{N}_]"
+#: A character of white space and one of anything else. Classes are tried from the left, so the first part settles nearly all characters.
+SP, NS = rf"[[^!-~]&&[{WS}]]", rf"[!-~[^{WS}]]"
+W = r"[a-zA-Z0-9_\p{L}\p{N}]"
 #: Word boundaries before and after a word character.
-BEFORE, AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+BEFORE, AFTER = rf"(?<!{W})", rf"(?!{W})"
+
+
+def any_literal(words) -> str:
+    """An alternation of literals by common beginnings, so that a text fails it at its first characters; of two that begin alike, the longer one matches."""
+
+    def part(rest: list[str]) -> str:
+        firsts = sorted({w[0] for w in rest if w})
+        found = [re.sub(r"([^\w\s])", r"\\\1", c) + part([w[1:] for w in rest if w and w[0] == c]) for c in firsts]
+        if not found:
+            return ""
+        whole = found[0] if len(found) == 1 and "" not in rest else f"(?:{'|'.join(found)})"
+        return f"{whole}?" if "" in rest else whole
+
+    return part(sorted(set(words)))
 
 
 def any_of(words, flags: str = "(?iu)") -> str:
-    return f"{flags}{BEFORE}(?:{'|'.join(words)}){AFTER}"
+    return f"{flags}{BEFORE}{any_literal(words)}{AFTER}"
 
 
 # The patterns that results depend on.
-SENTENCE_END = rf"[.!?][\"'”’)\]]*(?:[{WS}]+|\z)"
-BULLET = rf"^[{WS}]*(?:[-*][{WS}]|\p{{Nd}}+[.)][{WS}])"
-BOLD_BULLET = rf"^[{WS}]*(?:[-*]|\p{{Nd}}+[.)])[{WS}]+\*\*"
-BOLD_HEADER = rf"\*\*[^*]+[.:]\*\*[{WS}]+[^{WS}]"
-TRIAD = rf"(?iu){W}+, {W}+, and {W}+"
+SENTENCE_END = rf"[.!?][\"'”’)\]]*(?:{SP}+|\z)"
+BULLET = rf"^{SP}*(?:[-*]{SP}|\p{{Nd}}+[.)]{SP})"
+BOLD_BULLET = rf"^{SP}*(?:[-*]|\p{{Nd}}+[.)]){SP}+\*\*"
+BOLD_HEADER = rf"\*\*[^*]+[.:]\*\*{SP}+{NS}"
+TRIAD = rf"{W}++, {W}++, (?iu:and) {W}+"
 NOT_JUST_BUT = r"(?diu)not (?:just|only) .{1,40}, but (?:also )?"
-OPENER = rf"(?dimu)(?:^|[.!?][{WS}]+)%s[,! ]"
+OPENER = rf"(?dimu)(?:^|[.!?]{SP}+)%s[,! ]"
 CUTOFF = rf"(?iu){BEFORE}as of my (?:last |knowledge )?cutoff{AFTER}"
 JUST_AI = rf"(?iu){BEFORE}i'm just an? ai{AFTER}"
 PLACEHOLDER = r"(?iu)\[insert [^\]]*\]|\[describe [^\]]*\]|\[url [^\]]*\]|\[your [^\]]*\]|\[todo[^\]]*\]"
-X_NOT_Y = rf"{BEFORE}{W}+, not {W}+"
+X_NOT_Y = rf"{BEFORE}{W}++, not {W}+"
 STAGED = rf"(?iu){BEFORE}not (?:only|just|merely){AFTER}[^.!?\n]{{1,80}}?{BEFORE}but(?: also)?{AFTER}[^.!?\n,;:]{{1,80}}?(?=[,.;:!?]|\n|\z)"
-_RESOLUTION = rf"[.;:,][{WS}]*(?:it's|they're|that's|he's|she's|we're|it[{WS}]+is|they[{WS}]+are|that[{WS}]+is|this[{WS}]+is|these[{WS}]+are|those[{WS}]+are|%swhat's|what[{WS}]+is|the[{WS}]+real|the[{WS}]+actual|instead|rather)"
-_NEGATED = "|".join([*(f"{v}n't" for v in "is are was were does do did has have wo ca could should".split()), *(rf"{v}[{WS}]+not" for v in "is are was were does do did has have will could should".split()), "cannot"])
-SETUP_A = rf"(?diu){BEFORE}(?:this|that|these|those|it|they|we)[{WS}]+(?:{_NEGATED}){AFTER}.{{0,80}}" + _RESOLUTION % rf"he[{WS}]+is|she[{WS}]+is|we[{WS}]+are|"
-SETUP_B = rf"(?diu){BEFORE}(?:it's|that's|this[{WS}]+is|they're|he's|she's|we're)[{WS}]+not{AFTER}.{{0,80}}" + _RESOLUTION % ""
-PIVOT = rf"(?iu),[{WS}]+(?:but|yet|and|not|or){AFTER}"
+_RESOLUTION = rf"[.;:,]{SP}*(?:it's|they're|that's|he's|she's|we're|it{SP}+is|they{SP}+are|that{SP}+is|this{SP}+is|these{SP}+are|those{SP}+are|%swhat's|what{SP}+is|the{SP}+real|the{SP}+actual|instead|rather)"
+_NEGATED = "|".join([*(f"{v}n't" for v in "is are was were does do did has have wo ca could should".split()), *(rf"{v}{SP}+not" for v in "is are was were does do did has have will could should".split()), "cannot"])
+SETUP_A = rf"(?diu){BEFORE}(?:this|that|these|those|it|they|we){SP}+(?:{_NEGATED}){AFTER}.{{0,80}}" + _RESOLUTION % rf"he{SP}+is|she{SP}+is|we{SP}+are|"
+SETUP_B = rf"(?diu){BEFORE}(?:it's|that's|this{SP}+is|they're|he's|she's|we're){SP}+not{AFTER}.{{0,80}}" + _RESOLUTION % ""
+PIVOT = rf"(?iu),{SP}+(?:but|yet|and|not|or){AFTER}"
 COLON = r"(?<!http)(?<!https): (?!true|false|null)[a-z]"
-DIVIDER = rf"(?dm)^[{WS}]*(?:---+|\*\*\*+|___+)[{WS}]*$"
+DIVIDER = rf"(?dm)^{SP}*(?:---+|\*\*\*+|___+){SP}*$"
 DASH = r"—| -- "
 COPULA = any_of(("is", "are", "was", "were"))
 BOLD_SPAN = r"\*\*[^*\n]+?\*\*"

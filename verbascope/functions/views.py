@@ -1,7 +1,7 @@
 """Document views: what the rules read, as columns derived from a text column.
 
-Views are plain expressions. materialise() puts the ones that are read more than once into their own projection, so that
-a plan computes each once however many rules use it; those that no rule asks for don't appear in the plan.
+Views are plain expressions. materialise() puts them into projections of their own and holds them there, so that a plan
+computes each once, however many rules or lambdas read it; those that no rule asks for don't appear in the plan.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .patterns import BOLD_BULLET, BULLET, SENTENCE_END, WS, WS_IN_LINE
+from .patterns import BOLD_BULLET, BULLET, NS, SENTENCE_END, SP, WS, WS_IN_LINE, W
 
 _FENCE = rf"(?<=(?:\A|\n)[{WS_IN_LINE}]{{0,3}})(`{{3,}}+)(?:[^\n]*\n(?:[\s\S]*?\n)?? {{0,3}}\1`*[{WS_IN_LINE}]*(?:\n|\z)|[\s\S]*\z)"
 _INLINE = r"(?<!`)(`++)[^\n]*?(?<!`)\2(?!`)"
@@ -18,16 +18,16 @@ CODE_TOKENS = f"{_FENCE}|{_INLINE}|`+|[^`]+"
 
 def held(x: Column) -> Column:
     """x, computed where it stands: the optimizer moves no expression that isn't deterministic into filters, lambdas or later projections, where it would run again and again."""
-    return F.when(F.rand(0) >= 0, x)
+    return F.when(F.spark_partition_id() >= 0, x)
 
 
 def word_count(text: Column) -> Column:
     """Runs of anything but Unicode white space."""
-    return F.regexp_count(text, F.lit(f"[^{WS}]+"))
+    return F.regexp_count(text, F.lit(f"{NS}+"))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.regexp_replace(text, rf"^{SP}+|{SP}+\z", "")
 
 
 def sentences(text: Column) -> Column:
@@ -35,7 +35,7 @@ def sentences(text: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.split(text, rf"\n[{WS}]*\n", -1), lambda p: F.regexp_like(p, F.lit(f"[^{WS}]")))
+    return F.filter(F.split(text, rf"\n{SP}*\n", -1), lambda p: F.regexp_like(p, F.lit(f"{NS}")))
 
 
 def counts_of(parts: Column) -> Column:
@@ -43,8 +43,12 @@ def counts_of(parts: Column) -> Column:
 
 
 def ngram_tokens(text: Column) -> Column:
-    bare = rf"^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+\z"
-    return F.filter(F.transform(F.split(text, f"[{WS}]+"), lambda t: F.lower(F.regexp_replace(t, bare, ""))), lambda t: t != "")
+    """Words without the signs at their ends, in lower case."""
+    bare = F.regexp_replace(text, rf"(?<!{NS})(?:(?!{W}){NS})++|(?<={W})(?:(?!{W}){NS})++(?!{NS})", "")
+    # A capital sigma's lower case depends on where its word ends.
+    lower = F.lower(bare)
+    each = F.transform(F.split(bare, f"{SP}+"), F.lower)
+    return F.filter(F.when(F.contains(bare, F.lit("Σ")), each).otherwise(F.split(lower, f"{SP}+")), lambda t: t != "")
 
 
 def code_tokens(text: Column) -> Column:
@@ -93,7 +97,12 @@ def table_breaks(text: Column) -> Column:
         return F.when(acc["s"] == 1, body).when((acc["s"] == 2) & p["row"], body).when(p["head"], head).otherwise(prose)
 
     folded = F.aggregate(pairs, start, step, lambda acc: F.array_join(acc["out"], "\n"))
-    return F.when(F.regexp_like(text, F.lit(r"\|[^\n]*\n[^\n]*-{3,}[^\n]*")), folded).otherwise(text)
+    return F.when(may_hold_table(text), folded).otherwise(text)
+
+
+def may_hold_table(text: Column) -> Column:
+    """A line with a bar before one with three dashes."""
+    return F.contains(text, F.lit("|")) & F.contains(text, F.lit("---")) & F.regexp_like(text, F.lit(r"\|[^\n]*+\n[^\n]*?---"))
 
 
 #: name -> (what it is read from, expression)
@@ -109,9 +118,10 @@ VIEWS = {
     "v_bold_bullets": (("v_lines",), lambda: F.transform("v_lines", lambda x: F.when(F.regexp_like(x, F.lit(BOLD_BULLET)), "1").otherwise("0"))),
     "v_sentences": (("v_text",), lambda: sentences(F.col("v_text"))),
     "v_sentence_words": (("v_sentences",), lambda: counts_of(F.col("v_sentences"))),
-    "v_plain_sentences": (("v_broken",), lambda: sentences(table_breaks(F.col("v_broken")))),
+    "v_plain_sentences": (("v_text", "v_broken", "v_sentences"), lambda: F.when(F.contains("v_text", F.lit("`")) | may_hold_table(F.col("v_text")), sentences(table_breaks(F.col("v_broken")))).otherwise(F.col("v_sentences"))),
+    "v_plain_sentence_words": (("v_plain_sentences",), lambda: counts_of(F.col("v_plain_sentences"))),
     "v_paragraph_words": (("v_text",), lambda: counts_of(paragraphs(F.col("v_text")))),
-    "v_ngrams": (("v_text",), lambda: held(ngram_tokens(F.col("v_text")))),
+    "v_ngrams": (("v_text",), lambda: ngram_tokens(F.col("v_text"))),
 }
 
 
@@ -130,7 +140,7 @@ def materialise(df: DataFrame, names: set[str]) -> DataFrame:
     done = {"v_text"}
     while todo:
         level = sorted(n for n in todo if all(x in done for x in VIEWS[n][0]))
-        df = df.withColumns({n: VIEWS[n][1]() for n in level})
+        df = df.withColumns({n: held(VIEWS[n][1]()) for n in level})
         done |= set(level)
         todo -= set(level)
     return df

@@ -110,7 +110,7 @@ class SlopWord(Rule):
 
         def proper(h: Column) -> Column:
             before, after = F.substring(t, F.lit(1), h["start"]), F.substring(t, h["end"] + 1, F.length(t))
-            named = F.regexp_like(before, F.lit(rf"(?<![\p{{L}}'.\-]){title}[{P.WS}]*\z")) | F.regexp_like(after, F.lit(rf"^[{P.WS}]*(?:{title}|[A-Z]\.)(?![\p{{L}}'.\-])"))
+            named = F.regexp_like(before, F.lit(rf"(?<![\p{{L}}'.\-]){title}{P.SP}*\z")) | F.regexp_like(after, F.lit(rf"^{P.SP}*(?:{title}|[A-Z]\.)(?![\p{{L}}'.\-])"))
             return F.regexp_like(F.substring(t, h["start"] + 1, F.lit(1)), F.lit(r"^\p{Lu}")) & named
 
         return F.filter(spans(F.col("v_masked"), self.PATTERN), lambda h: ~proper(h))
@@ -168,7 +168,7 @@ class PhraseRule(Rule):
         return delta * a if a == b else (delta - self._pattern_count()) * a + self._pattern_count() * b
 
     def _clean(self, m: Column) -> Column:
-        return F.lower(F.regexp_replace(m, rf"^[{P.WS}]+|[{P.WS}]+\z", ""))
+        return F.lower(F.regexp_replace(m, rf"^{P.SP}+|{P.SP}+\z", ""))
 
     def pattern_hits(self) -> Column:
         found = [spans(F.col(TEXT), p) for p in self.PATTERNS]
@@ -365,7 +365,8 @@ class EmDash(OnceRule):
     views, match = ("v_words",), "em_dash_density"
 
     def dashes(self) -> Column:
-        return F.regexp_count(TEXT, F.lit(P.DASH))
+        t = F.col(TEXT)  # the two don't overlap, so each is counted by itself
+        return (2 * F.length(t) - F.length(F.replace(t, F.lit("—"), F.lit(""))) - F.length(F.replace(t, F.lit(" -- "), F.lit("   ")))).cast("int")
 
     def ratio(self) -> Column:
         return F.when(F.col("v_words") > 0, self.dashes() / F.col("v_words") * F.lit(float(self["words_basis"])))
@@ -415,7 +416,7 @@ class ContrastPair(CappedRule):
 
     def hits(self) -> Column:
         def of(pattern: str, kind: str) -> Column:
-            return F.transform(spans(F.col(TEXT), pattern), lambda h: F.struct(h["start"], h["end"], F.lit(kind).alias("kind"), F.regexp_replace(h["match"], rf"^[{P.WS}]+|[{P.WS}]+\z", "").alias("match")))
+            return F.transform(spans(F.col(TEXT), pattern), lambda h: F.struct(h["start"], h["end"], F.lit(kind).alias("kind"), F.regexp_replace(h["match"], rf"^{P.SP}+|{P.SP}+\z", "").alias("match")))
 
         return F.sort_array(F.concat(of(P.X_NOT_Y, "x_not_y"), of(P.STAGED, "staged_contrast")))
 
@@ -438,13 +439,15 @@ class KeywordBold(CappedRule):
         def keep(h: Column) -> Column:
             inner = F.substring(h["match"], F.lit(3), F.length(h["match"]) - 4)
             before, after = F.substring(masked, F.lit(1), h["start"]), F.substring(masked, h["end"] + 1, F.length(masked))
-            line = F.regexp_extract(F.substring(t, F.lit(1), h["start"]), r"[^\n]*\z", 0)
-            rest = F.regexp_extract(F.substring(t, h["start"] + 1, F.length(t)), r"^[^\n]*", 0)
-            label = F.regexp_like(inner, F.lit(r"[:.]\z")) & F.regexp_like(after, F.lit(rf"^[{P.WS}]+[^{P.WS}]"))
+            line, rest = F.substring_index(F.substring(t, F.lit(1), h["start"]), "\n", -1), F.substring_index(F.substring(t, h["start"] + 1, F.length(t)), "\n", 1)
+            label = F.regexp_like(inner, F.lit(r"[:.]\z")) & F.regexp_like(after, F.lit(rf"^{P.SP}+{P.NS}"))
             number = F.regexp_like(inner, F.lit(P.NUMERIC_BOLD))
             long = F.regexp_count(inner, F.lit(f"{P.W}+")) > self["max_words"]
-            excluded = F.regexp_like(F.concat(line, rest), F.lit(rf"^[{P.WS}]*(?:#|>)|{P.BULLET}"))
-            begins = F.regexp_like(before, F.lit(r"(?:\A|[.!?])[ \t\r]*\z|(?:\A|[.!?\n])[ \t\r]*\n[ \t\r]*\z"))
+            excluded = F.regexp_like(F.concat(line, rest), F.lit(rf"^{P.SP}*(?:#|>)|{P.BULLET}"))
+            # At the start, after a sentence's end, or on a line after such an end or an empty line, blanks aside.
+            bare = F.rtrim(before, F.lit(" \t\r"))
+            above = F.rtrim(F.substring(bare, F.lit(1), F.length(bare) - 1), F.lit(" \t\r"))
+            begins = (bare == "") | F.right(bare, F.lit(1)).isin(".", "!", "?") | F.endswith(bare, F.lit("\n")) & ((above == "") | F.right(above, F.lit(1)).isin(".", "!", "?", "\n"))
             return ~(label | number | long | excluded | begins)
 
         found = F.filter(spans(masked, P.BOLD_SPAN), keep)
@@ -494,7 +497,7 @@ class ColonDensity(OnceRule):
         return F.when(F.contains("v_unfenced", F.lit(": ")), n).otherwise(0)
 
     def _words(self) -> Column:
-        return F.regexp_count("v_unfenced", F.lit(f"[^{P.WS}]+"))
+        return F.regexp_count("v_unfenced", F.lit(f"{P.NS}+"))
 
     def ratio(self) -> Column:
         words = self._words()
@@ -513,10 +516,10 @@ class ColonDensity(OnceRule):
 class PithyFragment(CappedRule):
     rule_type, name, count_key, level = "PithyFragmentRule", "pithy_fragment", "pithy_fragment", "sentence"
     DEFAULTS = {"penalty": -2, "max_sentence_words": 6, "record_cap": 3}
-    views = ("v_sentences",)
+    views = ("v_sentences", "v_sentence_words")
 
     def hits(self) -> Column:
-        return F.filter("v_sentences", lambda s: F.contains(s, F.lit(",")) & (F.regexp_count(s, F.lit(f"[^{P.WS}]+")) <= self["max_sentence_words"]) & F.regexp_like(s, F.lit(P.PIVOT)))
+        return F.filter("v_sentences", lambda s, i: (F.get("v_sentence_words", i) <= self["max_sentence_words"]) & F.contains(s, F.lit(",")) & F.regexp_like(s, F.lit(P.PIVOT)))
 
     def total(self) -> Column:
         return F.size(self.hits())
@@ -534,7 +537,7 @@ class BulletDensity(OnceRule):
     views, match = ("v_lines", "v_bullets"), "bullet_density"
 
     def filled(self) -> Column:
-        return F.size(F.filter("v_lines", lambda x: F.regexp_like(x, F.lit(f"[^{P.WS}]"))))
+        return F.size(F.filter("v_lines", lambda x: F.regexp_like(x, F.lit(f"{P.NS}"))))
 
     def bullets(self) -> Column:
         return F.size(F.filter("v_bullets", lambda x: x == "1"))
@@ -560,7 +563,7 @@ class BlockquoteDensity(OnceRule):
 
     def quotes(self) -> Column:
         def step(a: Column, x: Column) -> Column:
-            fence = F.regexp_like(x, F.lit(rf"^[{P.WS}]*```"))
+            fence = F.regexp_like(x, F.lit(rf"^{P.SP}*```"))
             return F.struct(F.when(fence, ~a["in_code"]).otherwise(a["in_code"]).alias("in_code"), (a["n"] + F.when(~fence & ~a["in_code"] & F.startswith(x, F.lit(">")), 1).otherwise(0)).alias("n"))
 
         n = F.aggregate("v_lines", F.struct(F.lit(False).alias("in_code"), F.lit(0).alias("n")), step, lambda a: a["n"])
@@ -648,7 +651,7 @@ class CopulaChain(OnceRule):
     views, match = ("v_sentences",), "copula_chain"
 
     def chained(self) -> Column:
-        head = lambda s: F.array_join(F.slice(F.split(s, f"[{P.WS}]+"), 1, 6), " ")
+        head = lambda s: F.array_join(F.slice(F.split(s, f"{P.SP}+", 7), 1, 6), " ")
         return F.size(F.filter("v_sentences", lambda s: F.regexp_like(head(s), F.lit(P.COPULA))))
 
     def holds(self) -> Column:
@@ -665,11 +668,11 @@ class CopulaChain(OnceRule):
 class ExtremeSentence(Rule):
     rule_type, name, count_key, level = "ExtremeSentenceRule", "extreme_sentence", "extreme_sentence", "passage"
     DEFAULTS = {"min_words": 140, "penalty": -5}
-    views = ("v_plain_sentences",)
+    views = ("v_plain_sentences", "v_plain_sentence_words")
 
     def hits(self) -> Column:
-        numbered = F.transform("v_plain_sentences", lambda s, i: F.struct(s.alias("s"), (i + 1).alias("i"), F.regexp_count(s, F.lit(f"[^{P.WS}]+")).alias("n")))
-        return F.filter(numbered, lambda x: x["n"] >= self["min_words"])
+        numbered = F.transform("v_plain_sentences", lambda s, i: F.struct(s.alias("s"), (i + 1).alias("i"), F.get("v_plain_sentence_words", i).alias("n")))
+        return F.when(F.exists("v_plain_sentence_words", lambda n: n >= self["min_words"]), F.filter(numbered, lambda x: x["n"] >= self["min_words"])).otherwise(F.slice(numbered, 1, 0))
 
     def delta(self) -> Column:
         return F.size(self.hits())

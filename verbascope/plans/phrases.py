@@ -49,7 +49,7 @@ def reuse_column(tokens: Column, min_n: int = 4, max_n: int = 8, min_count: int
 
 
 def may_repeat(tokens: Column, n: int, min_count: int) -> Column:
-    hashes = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i + 1, n), " ")))
+    hashes = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.xxhash64(*[F.get(tokens, i + k) for k in range(n)]))
     return F.when(F.size(tokens) >= n, F.size(hashes) - F.size(F.array_distinct(hashes)) >= min_count - 1).otherwise(False)
 
 
