@@ -32,8 +32,8 @@ def with_repeat_words(df: DataFrame, out: str, on: Column | None = None) -> Data
     together; the words themselves then confirm each pair. The work is that of a sort of the text's own windows.
     """
     words = F.expr(_WORDS)
-    # rand() keeps the optimizer from moving the split into the lambdas below, should a filter follow.
-    df = df.withColumn("_w", F.when((F.rand(0) >= 0) & (F.lit(True) if on is None else on), words))
+    # What isn't deterministic keeps the optimizer from moving the split into the lambdas below, should a filter follow.
+    df = df.withColumn("_w", F.when((F.spark_partition_id() >= 0) & (F.lit(True) if on is None else on), words))
     df = df.withColumn("_bits", F.expr("cast(coalesce(ceil(log2(size(_w) + 1)), 1) as int)"))
     df = df.withColumn("_s", F.expr("case when size(_w) > 3 then sort_array(transform(sequence(0, size(_w) - 3), i -> shiftleft(xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2)), _bits) | cast(i as bigint))) end"))
     same = "shiftrightunsigned(a, _bits) = shiftrightunsigned(b, _bits)"
