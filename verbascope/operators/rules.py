@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.numbers import exact_round
 from ..functions.spans import context, spans
 from . import lexicons as L
 
@@ -95,7 +96,30 @@ class Rule:
 
 
 def _number(x: Column, places: int) -> Column:
-    return F.format_string(f"%.{places}f", x)
+    return F.format_string(f"%.{places}f", exact_round(x, places))
+
+
+def _percent(x: Column) -> Column:
+    return F.format_string("%.0f%%", F.rint(x * 100))
+
+
+def _preview(text: Column) -> Column:
+    return F.concat(F.lit('"'), F.substring(text, F.lit(1), F.lit(80)), F.when(F.length(text) > 80, F.lit('..."')).otherwise(F.lit('"')))
+
+
+def _list(numbers: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(numbers, lambda n: n.cast("string")), ", "), F.lit("]"))
+
+
+#: Contexts and matches that users compare, with the numbers as arguments.
+ABOUT_PHRASE = "'%s' (%d-word phrase) appears %d times"
+ABOUT_COPULA = "%d/%d sentences (%s) use a copula within the first 6 words"
+ABOUT_SENTENCE = "Sentence %d has %d words (>= {min_words}): %s"
+ABOUT_CLOSING = "Closing sentence matches %d generalizing patterns: %s"
+ABOUT_BALANCE = "Body paragraph word counts %s - balance ratio %s (> {balance_threshold})"
+ABOUT_PARAGRAPHS = "Paragraph length CV=%s (< {cv_threshold:.2f}) across lengths %s"
+ABOUT_DIVIDERS = "%d horizontal rules — excessive section dividers"
+ABOUT_QUOTES = "%d blockquote lines — Claude uses these as thesis statements"
 
 
 class SlopWord(Rule):
@@ -424,7 +448,7 @@ class ContrastPair(CappedRule):
         n = self.total()
         return F.concat(
             F.transform(self.shown(), lambda h: F.concat(F.lit("Say '"), h["match"], F.when(h["kind"] == "x_not_y", "' as a plain sentence, not as a slogan.").otherwise("' directly, without staging a contrast."))),
-            when_some(n >= self["advice_min"], F.array(F.concat(n.cast("string"), F.lit(" contrasts; write at least one as a plain sentence."))), _no_advice()),
+            when_some(n >= self["advice_min"], F.array(F.concat(n.cast("string"), F.when(F.regexp_count(TEXT, F.lit(P.STAGED)) == 0, " slogans of one thing, not another").otherwise(" contrasts"), F.lit("; write at least one as a plain sentence."))), _no_advice()),
         )
 
 
@@ -550,7 +574,7 @@ class BulletDensity(OnceRule):
         return self.ratio() > self["ratio_threshold"]
 
     def about(self) -> Column:
-        return F.concat(self.bullets().cast("string"), F.lit(" of "), self.filled().cast("string"), F.lit(" non-empty lines are bullets ("), F.format_string("%.0f", self.ratio() * 100), F.lit("%)"))
+        return F.concat(self.bullets().cast("string"), F.lit(" of "), self.filled().cast("string"), F.lit(" non-empty lines are bullets ("), _percent(self.ratio()), F.lit(")"))
 
     def tip(self) -> Column:
         return F.concat(F.lit("Write as prose: "), self.about(), F.lit("."))
@@ -582,10 +606,10 @@ class BlockquoteDensity(OnceRule):
         return self._once(self.holds(), self.match, self.about(), self._times() * self["penalty_step"])
 
     def about(self) -> Column:
-        return F.concat(self.quotes().cast("string"), F.lit(" blockquote lines"))
+        return F.format_string(ABOUT_QUOTES, self.quotes())
 
     def tip(self) -> Column:
-        return F.concat(self.about(), F.lit("; bring the quotations into the text."))
+        return F.concat(self.quotes().cast("string"), F.lit(" blockquote lines"), F.lit("; bring the quotations into the text."))
 
 
 class BoldBulletRun(Rule):
@@ -618,10 +642,10 @@ class HorizontalRules(OnceRule):
         return self.dividers() >= self["min_count"]
 
     def about(self) -> Column:
-        return F.concat(self.dividers().cast("string"), F.lit(" horizontal rules"))
+        return F.format_string(ABOUT_DIVIDERS, self.dividers())
 
     def tip(self) -> Column:
-        return F.concat(self.about(), F.lit("; sections need no lines between them."))
+        return F.concat(self.dividers().cast("string"), F.lit(" horizontal rules"), F.lit("; sections need no lines between them."))
 
 
 class PhraseReuse(CappedRule):
@@ -639,7 +663,7 @@ class PhraseReuse(CappedRule):
         return F.size("v_reuse")
 
     def found(self) -> Column:
-        return F.transform(self.shown(), lambda h: violation(self.name, h["phrase"], F.concat(F.lit("'"), h["phrase"], F.lit("' appears "), h["count"].cast("string"), F.lit(" times")), self["penalty"]))
+        return F.transform(self.shown(), lambda h: violation(self.name, h["phrase"], F.format_string(ABOUT_PHRASE, h["phrase"], h["n"], h["count"]), self["penalty"]))
 
     def advice(self) -> Column:
         return F.transform(self.shown(), lambda h: F.concat(F.lit("'"), h["phrase"], F.lit("' comes "), h["count"].cast("string"), F.lit(" times; vary it.")))
@@ -648,7 +672,7 @@ class PhraseReuse(CappedRule):
 class CopulaChain(OnceRule):
     rule_type, name, count_key, level = "CopulaChainRule", "copula_chain", "copula_chain", "passage"
     DEFAULTS = {"min_sentences": 6, "threshold": 0.5, "penalty": -3}
-    views, match = ("v_sentences",), "copula_chain"
+    views, match = ("v_sentences",), "copula_density"
 
     def chained(self) -> Column:
         head = lambda s: F.array_join(F.slice(F.split(s, f"{P.SP}+", 7), 1, 6), " ")
@@ -659,10 +683,10 @@ class CopulaChain(OnceRule):
         return (n >= self["min_sentences"]) & (self.chained() / n >= self["threshold"])
 
     def about(self) -> Column:
-        return F.concat(self.chained().cast("string"), F.lit(" of "), F.size("v_sentences").cast("string"), F.lit(" sentences lean on is, are, was or were"))
+        return F.format_string(ABOUT_COPULA, self.chained(), F.size("v_sentences"), _percent(self.chained() / F.size("v_sentences")))
 
     def tip(self) -> Column:
-        return F.concat(self.about(), F.lit("; use verbs that do something."))
+        return F.concat(self.chained().cast("string"), F.lit(" of "), F.size("v_sentences").cast("string"), F.lit(" sentences lean on is, are, was or were; use verbs that do something."))
 
 
 class ExtremeSentence(Rule):
@@ -678,7 +702,7 @@ class ExtremeSentence(Rule):
         return F.size(self.hits())
 
     def found(self) -> Column:
-        return F.transform(self.hits(), lambda x: violation(self.name, "extreme_sentence", F.concat(F.lit("Sentence "), x["i"].cast("string"), F.lit(" has "), x["n"].cast("string"), F.lit(" words: "), F.substring(x["s"], F.lit(1), F.lit(80))), self["penalty"]))
+        return F.transform(self.hits(), lambda x: violation(self.name, "run_on_sentence", F.format_string(ABOUT_SENTENCE.format(**self.config), x["i"], x["n"], _preview(x["s"])), self["penalty"]))
 
     def advice(self) -> Column:
         return F.transform(self.hits(), lambda x: F.concat(F.lit("Split sentence "), x["i"].cast("string"), F.lit(" ("), x["n"].cast("string"), F.lit(" words).")))
@@ -698,7 +722,7 @@ class ClosingAphorism(OnceRule):
         return (F.size("v_sentences") >= self["min_sentences"]) & (self.signs() >= self.LEAST)
 
     def about(self) -> Column:
-        return F.concat(F.lit("Last sentence shows "), self.signs().cast("string"), F.lit(" signs of an aphorism: "), F.substring(F.get("v_sentences", F.size("v_sentences") - 1), F.lit(1), F.lit(80)))
+        return F.format_string(ABOUT_CLOSING, self.signs(), _preview(F.get("v_sentences", F.size("v_sentences") - 1)))
 
     def tip(self) -> Column:
         return F.lit("End on a fact or a next step instead of a moral.")
@@ -717,7 +741,7 @@ class ParagraphBalance(OnceRule):
         return (F.size("v_paragraph_words") >= self["min_body_paragraphs"] + 1) & (self.ratio() > self["balance_threshold"])
 
     def about(self) -> Column:
-        return F.concat(F.lit("Body paragraphs of ["), F.array_join(F.transform(F.slice("v_paragraph_words", 2, F.greatest(F.size("v_paragraph_words") - 1, F.lit(0))), lambda n: n.cast("string")), ", "), F.lit("] words (shortest over longest "), _number(self.ratio(), 2), F.lit(")"))
+        return F.format_string(ABOUT_BALANCE.format(**self.config), _list(F.slice("v_paragraph_words", 2, F.greatest(F.size("v_paragraph_words") - 1, F.lit(0)))), _number(self.ratio(), 2))
 
     def tip(self) -> Column:
         return F.lit("Paragraphs are of nearly one length; let content decide it.")
@@ -734,10 +758,11 @@ class ParagraphCV(OnceRule):
 
     def about(self) -> Column:
         x = F.col("v_paragraph_words")
-        return F.concat(F.lit("CV="), _number(variation(x), 2), F.lit(" across "), F.size(x).cast("string"), F.lit(" paragraphs"))
+        return F.format_string(ABOUT_PARAGRAPHS.format(**self.config), _number(variation(x), 2), _list(x))
 
     def tip(self) -> Column:
-        return F.concat(F.lit("Paragraph lengths vary little ("), self.about(), F.lit(")."))
+        x = F.col("v_paragraph_words")
+        return F.concat(F.lit("Paragraph lengths vary little (CV="), _number(variation(x), 2), F.lit(" across "), F.size(x).cast("string"), F.lit(" paragraphs)."))
 
 
 #: In the order in which they are evaluated.

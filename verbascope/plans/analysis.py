@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import exact_round
 from ..functions.views import VIEWS, held, materialise
 from ..operators.rules import VIOLATION, PhraseReuse, Rule, default_rules
 from .phrases import reuse_column
@@ -123,8 +124,8 @@ def analyze(df: DataFrame, text_col: str = "text", rules: list[Rule] | None = No
         F.when(has, found).alias("violations"),
         F.when(has, F.create_map(*[x for k, c in keys.items() for x in (F.lit(k), c)])).alias("counts"),
         F.when(has, F.aggregate("_found", F.lit(0), lambda n, v: n + v["penalty"])).alias("total_penalty"),
-        F.when(has, F.rint(F.col("_weighted") * 100) / 100).alias("weighted_sum"),
-        F.when(has, F.rint(F.col("_density") * 100) / 100).alias("density"),
+        F.when(has, exact_round(F.col("_weighted"), 2)).alias("weighted_sum"),
+        F.when(has, exact_round(F.col("_density"), 2)).alias("density"),
         F.when(has, F.array_distinct(F.concat(*[F.col(f"a_{i}") for i in range(len(rules))]))).alias("advice"),
     )
 

@@ -71,7 +71,8 @@ def full_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze(documents(spark, sf_dir), "text").select("doc_id", F.explode("violations").alias("v")).select("doc_id", "v.*")
+    found = analyze(documents(spark, sf_dir), "text").select("doc_id", held(F.col("violations")).alias("violations"))
+    return found.select("doc_id", F.explode("violations").alias("v")).select("doc_id", "v.*")
 
 
 def by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +114,31 @@ def hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("label").agg(F.count_if(F.col("hits") > 0).alias("matched"), F.count(F.lit(1)).alias("total"))
 
 
+def payload_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of the payload, over all rules but keyword bold: the sum of the violations' penalties, and the rounded ones."""
+    found = analyze(documents(spark, sf_dir).select("doc_id", "text"), "text", [r() for r in CORE], spans=False)
+    return found.select("doc_id", F.col("total_penalty").cast("long"), "weighted_sum", "density")
+
+
+def advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of advice in their order, each once per document."""
+    found = analyze(documents(spark, sf_dir).select("doc_id", "text"), "text", spans=False)
+    return found.select("doc_id", held(F.col("advice")).alias("advice")).select("doc_id", F.posexplode("advice").alias("place", "advice"))
+
+
+def slowest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the lines of the greatest quantity, the two return flags with the greatest mean price."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_extendedprice").cast("double").alias("price"))
+    return analytics.slowest_at_longest(lines, "l_returnflag", "l_quantity", "price", 2).select("l_returnflag", F.round("mean_price", 4).alias("mean_price"))
+
+
+def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of which not all documents are labelled: their numbers before and after."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    count = lambda df: df.groupBy(F.col("source").alias("key")).agg(F.count(F.lit(1)).alias("value"))
+    return analytics.changed(count(docs), count(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f"c{i + 1:02d}_{r.count_key}": _count_query(r) for i, r in enumerate(RULE_TYPES)}
     found |= {
@@ -131,6 +157,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "h08_samples": lambda s, d: analytics.samples(_core(s, d), "doc_id", 25).select(F.col("index").cast("long"), "doc_id", F.col("score").cast("long"), F.col("word_count").cast("long"), "band"),
         "h09_mean_by_source": mean_by_source,
         "h01_roles": by_role,
+        "d16_payload_numbers": payload_numbers,
+        "d10_advice": advice,
+        "h10_slowest_at_longest": slowest,
+        "h11_changed": changed,
+        "h12_non_text": lambda s, d: analytics.non_text(s.read.parquet(f"{d}/documents.parquet")),
     }
     return found
 
@@ -225,7 +256,7 @@ def _scored() -> str:
 h AS (SELECT doc_id, source, ({_WORDS})::BIGINT AS word_count, {hits}, ({structural[0]})::BIGINT AS bold, ({structural[1]})::BIGINT AS bruns,
   ({_n('(?im)(?:^|[.!?]\\s+)certainly[,! ]')} + {_n('(?im)(?:^|[.!?]\\s+)absolutely[,! ]')})::BIGINT AS openers, len(list_filter({_LINES}, lambda x: starts_with(x, '>'))) AS quotes FROM d),
 h2 AS (SELECT h.*, least(5, coalesce(r.k, 0)) AS phrase_reuse FROM h LEFT JOIN (SELECT doc_id, count(*) AS k FROM reuse GROUP BY doc_id) r USING (doc_id)),
-w AS (SELECT *, ({total})::DOUBLE AS weighted FROM h2),
+w AS (SELECT *, ({total})::DOUBLE AS weighted, ({' + '.join(weight[k] if k not in weight or ' ' not in weight[k] else f'({weight[k]})' for k in keys)})::BIGINT AS penalties FROM h2),
 s0 AS (SELECT doc_id, source, word_count, CASE WHEN word_count < 10 THEN 100 ELSE greatest(0, least(100, round_even(100 * exp(-0.04::DOUBLE * (weighted / (word_count / 1000.0::DOUBLE))), 0)::BIGINT)) END::BIGINT AS score FROM w),
 s AS (SELECT *, CASE WHEN score >= 80 THEN 'clean' WHEN score >= 60 THEN 'light' WHEN score >= 40 THEN 'moderate' WHEN score >= 20 THEN 'heavy' ELSE 'saturated' END AS band FROM s0)"""
 
@@ -245,6 +276,10 @@ def oracle_sql() -> dict[str, str]:
         "h06_regression": f"{s} SELECT count(*) AS n, round(regr_slope(score, word_count), 6) AS slope, round(regr_intercept(score, word_count), 6) AS intercept, round(corr(word_count, score), 6) AS correlation FROM s",
         "h08_samples": f"{s} SELECT row_number() OVER (ORDER BY doc_id) AS index, doc_id, score, word_count, band FROM s ORDER BY doc_id LIMIT 25",
         "e10_hit_rates": f"WITH {_D} SELECT l.quality AS label, count(*) FILTER (WHERE ({HITS['slop_words']}) > 0) AS matched, count(*) AS total FROM d JOIN labels l USING (doc_id) GROUP BY l.quality",
+        "d16_payload_numbers": f"{s}, z AS (SELECT *, CASE WHEN word_count < 10 THEN 0 ELSE penalties END AS p, CASE WHEN word_count < 10 THEN 0 ELSE weighted END AS x FROM w) SELECT doc_id, -p::BIGINT AS total_penalty, round_even(x, 2) AS weighted_sum, CASE WHEN word_count > 0 THEN round_even(x / (word_count / 1000.0::DOUBLE), 2) ELSE 0::DOUBLE END AS density FROM z",
+        "h10_slowest_at_longest": "SELECT l_returnflag, round(avg(l_extendedprice::DOUBLE), 4) AS mean_price FROM lineitem WHERE l_quantity = (SELECT max(l_quantity) FROM lineitem) GROUP BY l_returnflag ORDER BY avg(l_extendedprice::DOUBLE) DESC, l_returnflag LIMIT 2",
+        "h11_changed": "SELECT d.source AS key, count(*) AS before, nullif(count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)), 0) AS after FROM documents d GROUP BY d.source HAVING before IS DISTINCT FROM after",
+        "h12_non_text": "SELECT count(text) AS kept, count(*) - count(text) AS dropped FROM documents",
         "h09_mean_by_source": f"{s} SELECT source, round(avg(score), 6) AS mean_score FROM s GROUP BY source",
     }
     return found

@@ -93,3 +93,38 @@ def load_rules(path: str) -> list[Rule]:
 
 def save_rules(rules: list[Rule], path: str) -> None:
     Path(path).write_text("".join(json.dumps({"config": r.config, "rule_type": r.rule_type}, sort_keys=True) + "\n" for r in rules), encoding="utf-8")
+
+
+class UnreadableFile(ValueError):
+    """What a caller of a tool is told about a file."""
+
+
+def tool_file(path: str) -> str:
+    """The text of one file for a tool's caller; what is wrong with a path is an UnreadableFile."""
+    if not path:
+        raise UnreadableFile("the path is empty")
+    try:
+        if Path(path).is_dir():
+            raise UnreadableFile(f"a folder, not a file: {path}")
+        if not Path(path).is_file():
+            raise UnreadableFile(f"no such file: {path}")
+        return Path(path).read_text(encoding="utf-8")
+    except (OSError, UnicodeDecodeError) as e:
+        raise UnreadableFile(f"can't read {path}: {getattr(e, 'strerror', None) or e}") from e
+
+
+def report_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A report as write_csv wrote it, by its header; rows that don't parse are left out."""
+    return spark.read.option("header", True).option("mode", "DROPMALFORMED").option("enforceSchema", False).schema(schema).csv(path)
+
+
+#: The columns that timings need.
+TIMING = ("rule", "level", "word_count", "time_ms")
+
+
+def timings(spark: SparkSession, path: str) -> DataFrame:
+    """Timing records as JSON lines; a missing column is an error."""
+    df = spark.read.json(path)
+    if missing := [c for c in TIMING if c not in df.columns]:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    return df
