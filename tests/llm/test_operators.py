@@ -511,3 +511,247 @@ def test_parity_bits_never_rule_out_a_similar_pair():
             x, y = (np.frombuffer(near_copies.parity(s), np.uint8) for s in (a, b))
             fewest = int(near_copies.differing(x, y[None, :])[0])
             assert fewest <= len(np.setxor1d(a, b)) and (not near_copies.similar(a, b) or 9 * fewest <= len(a) + len(b))
+
+
+class _Layout:
+    """Random pages as trees of (kind, children); how each is written, end tags left out where HTML allows it, and how it is shown."""
+
+    def __init__(self, seed):
+        self.rng, self.n = random.Random(seed), 0
+
+    def inline(self):
+        out = []
+        for _ in range(self.rng.randint(1, 4)):
+            self.n += 1
+            out.append((self.rng.choice(["text", "text", "b", "a", "gone", "script"]), f"w{self.n}"))
+        return [*out, ("text", f"e{self.n}")]
+
+    def block(self, depth):
+        kinds = ["p", "p", "h2", "gone"] + (["div", "ul", "ol", "blockquote", "table", "unseen"] if depth < 4 else [])
+        kind = self.rng.choice(kinds)
+        if kind in ("p", "h2"):
+            return kind, self.inline()
+        if kind == "table":
+            return kind, [[(self.inline() if self.rng.random() < 0.8 else self.blocks(depth + 1), self.rng.choice([1, 1, 2])) for _ in range(self.rng.randint(1, 4))] for _ in range(self.rng.randint(1, 3))]
+        if kind in ("ul", "ol"):
+            return kind, [self.inline() if self.rng.random() < 0.6 else self.blocks(depth + 1) for _ in range(self.rng.randint(1, 3))]
+        return kind, self.blocks(depth + 1)
+
+    def blocks(self, depth):
+        return [self.block(depth) for _ in range(self.rng.randint(1, 3))]
+
+    def write(self, parts):
+        end = lambda tag: self.rng.choice(["", f"</{tag}>"])
+        out = []
+        for kind, x in parts:
+            if kind == "text":
+                out.append(f" {x}\n")
+            elif kind in ("b", "a"):
+                out.append(f"<{kind} class='x'> {x} </{kind}>")
+            elif kind == "script":
+                out.append(f"<script>var a = '<p>{x}'</script>")
+            elif kind == "gone":
+                inner = x if isinstance(x, str) else self.write(x)
+                out.append(f"<div hidden><div>{inner}</div> lost</div>" if not isinstance(x, str) else f"<span style='color:red; DISPLAY : none'><span>{inner}</span> lost</span>")
+            elif kind == "unseen":
+                out.append(f"<div style='visibility:hidden'>lost<div style='visibility:visible'>{self.write(x)}</div>lost</div>")
+            elif kind in ("p", "h2"):
+                out.append(f"<{kind}>{self.write(x)}" + (end("p") if kind == "p" else "</h2>"))
+            elif kind in ("ul", "ol"):
+                out.append(f"<{kind}>" + "".join(f"<li>{self.write(i)}{end('li')}" for i in x) + f"</{kind}>")
+            elif kind == "table":
+                rows = "".join("<tr>" + "".join(f"<td colspan={n}>{self.write(c)}{end('td')}" for c, n in row) + end("tr") for row in x)
+                out.append(f"<table>{rows}</table>")
+            else:
+                out.append(f"<{kind}>{self.write(x)}</{kind}>")
+        return "".join(out)
+
+    def show(self, parts, in_list=False):
+        """[lines before, text, lines after] of each part."""
+        out = []
+        line = " ".join(x for kind, x in parts if kind in ("text", "b", "a"))
+        if line:
+            return [[0, line, 0]]
+        for kind, x in parts:
+            if kind in ("p", "h2"):
+                out.append([2, self.joined(self.show(x)), 2])
+            elif kind in ("div", "unseen"):
+                inner = self.show(x, in_list)
+                # Unseen words stand between; they leave their block's edges.
+                edges = [1, "", 1]
+                out += [edges, *inner, edges]
+            elif kind in ("ul", "ol"):
+                edge = [1 if in_list else 2, "", 1 if in_list else 2]
+                items = []
+                for k, i in enumerate(x, 1):
+                    text, mark = self.joined(self.show(i, True)), "- " if kind == "ul" else f"{k}. "
+                    if text:
+                        items.append([1, mark + re.sub(r"\n(?=[^\n])", "\n" + " " * len(mark), text), 1])
+                out += [edge, *items, edge]
+            elif kind == "blockquote":
+                text = self.joined(self.show(x, in_list))
+                if text:
+                    out.append([2, "  " + re.sub(r"\n(?=[^\n])", "\n  ", text), 2])
+            elif kind == "table":
+                text = self.table(x, in_list)
+                if text:
+                    out.append([2, text, 2])
+        return out
+
+    def joined(self, chunks):
+        out, due = "", 0
+        for before, text, after in chunks:
+            due = max(due, before)
+            if text:
+                out += ("\n" * due if out else "") + text
+                due = 0
+            due = max(due, after)
+        return out
+
+    def table(self, rows, in_list):
+        grid = []
+        for row in rows:
+            at, cells = 0, []
+            for c, n in row:
+                cells.append((at, at + n, self.joined(self.show(c, in_list)).split("\n")))
+                at += n
+            grid.append(cells)
+        grid = [r for r in grid if any(any(c[2]) for c in r)]
+        if not grid:
+            return ""
+        starts = sorted({a for r in grid for a, _, _ in r})
+        span = lambda a, b: [s for s in starts if a <= s < b]
+        wide = dict.fromkeys(starts, 0)
+        for size in range(1, len(starts) + 1):
+            for a, b, lines in (c for r in grid for c in r if len(span(c[0], c[1])) == size):
+                *first, last = span(a, b)
+                wide[last] = max(wide[last], max(map(len, lines)) - sum(wide[s] + 2 for s in first))
+        out = []
+        for r in grid:
+            for k in range(max(len(c[2]) for c in r)):
+                line = ""
+                for a, b, lines in r:
+                    width = sum(wide[s] + 2 for s in span(a, b)) - 2
+                    text = lines[k] if k < len(lines) else ""
+                    line += (text.ljust(width) if width <= html_text.ALIGN_WIDTH else text) + "  "
+                out.append(line.rstrip())
+        return "\n".join(out)
+
+
+def test_html_layout_against_a_plain_renderer():
+    for seed in range(400):
+        page = _Layout(seed)
+        tree = page.blocks(0)
+        assert html_text.extract("<!DOCTYPE html><html><head><title>t</title></head><body>" + page.write(tree)) == page.joined(page.show(tree)), seed
+
+
+def test_html_closes_the_innermost_element():
+    show = html_text.extract
+    assert show("<div hidden><div>a</div>SECRET</div>") == "" and show('<span style="display:none"><span>a</span>LEAK</span>x') == "x"
+    assert show("<ol><li>a<ol><li>b</li></ol></li><li>c</li></ol>") == "1. a\n   1. b\n2. c"
+    assert show("<table><tr><td>A<table><tr><td>in</table></td><td>B</td></tr><tr><td>C</td><td>D</td></tr></table>") == "A   B\n\nin\nC   D"
+    assert show("<div>a<div>b</div>c</div>d") == "a\nb\nc\nd" and show("<blockquote><p>a</p><p>b</p></blockquote>") == "  a\n\n  b"
+    assert show("<details>x<summary>S</summary>y</details>") == "S" and show("<ruby>k<rp>(</rp><rt>r</rt><rp>)</rp></ruby>") == "kr"
+    assert show("<table><tr><td rowspan=2>r</td><td>1</td></tr><tr><td>22</td></tr></table>") == "r  1\n   22"
+    # Work grows with the page, however it is nested.
+    for page in ("<p><button>" + "<div>" * 50_000, "<ul><li>" * 20_000 + "x", "<table><tr><td>" * 20_000 + "x", "<b>" * 20_000 + "<p></i></span></b>" * 20_000):
+        assert show(page).strip(" -") in ("", "x")
+
+
+def test_url_rules_as_a_table(spark):
+    rng = random.Random(5)
+    hosts, paths = ["com", "net", "a.com", "b.a.com", "org", "x-y.org", "n\xe9t.de"], ["/", "/en/", "/en/7", "/de/a b/", "/e.*/", "/en/7/x"]
+    rules = [url_filter.UrlRule(rng.choice(["block", "allow"]), h, p) for h in hosts for p in paths if rng.random() < 0.6]
+    urls = [f"http://{rng.choice(['', 'w.', 'my host.'])}{rng.choice(hosts)}{rng.choice(['', *paths, '/en/7/x/y', '/de/'])}{rng.choice(['', '?q', '#f'])}" for _ in range(150)] + [None, "", "http://com/en/"] * 40
+    pages = spark.createDataFrame([(i % 100, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(3)
+    table = spark.createDataFrame([(r.action, r.host, r.path) for r in rules] + [("block", None, "/")], "action string, host string, path string")
+    inline, joined = url_filter.filter_urls(pages, tuple(rules)), url_filter.filter_urls(pages, table)
+    assert sorted(map(str, inline.collect())) == sorted(map(str, joined.collect()))
+    for r in inline.collect():
+        fit = [x for x in rules if (r.host == x.host or r.host.endswith("." + x.host)) and r.path.startswith(x.path)]
+        best = min(fit, key=lambda x: (-len(x.text), -len(x.host), x.action != "block", x.text), default=None)
+        assert (r.rule, r.verdict) == ((best.text, best.action) if best else (None, "allow"))
+    assert url_filter.filter_urls(pages.limit(0), table).collect() == []
+
+
+def plain_score(text, model):
+    """The mean of the margins of all features of all words, one by one."""
+    margin, found = np.frombuffer(model.margin), []
+    w = re.findall(rb"[^\x20\x09-\x0d]+", text.encode())
+    for a, b in zip([None, *w], w, strict=False):
+        marked = b"<" + b + b">"
+        for x in [marked, *(marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1))]:
+            found.append(margin[zlib.crc32(x) % classifier.BUCKETS])
+        found += [margin[classifier.SAME]] * (classifier.SAME_WEIGHT if a == b else 0)
+    return 1 / (1 + math.exp(-(model.bias + (sum(found) / len(found) if found else 0))))
+
+
+def test_classifier_scores_against_plain_sums(spark, docs):
+    rng = random.Random(2)
+    rows = [(" ".join(rng.choice(["good", "fine", "bad", "vile", "été"]) + ("x" if y else "!") for _ in range(rng.randint(1, 30))), y) for y in (0, 1) for _ in range(60)]
+    model = classifier.train(rows)
+    got = {(r.doc_id, round(r.score, 9)) for r in classifier.score_documents(docs.where("doc_id <> 8"), model).collect()}
+    assert got == {(i, round(plain_score(t or "", model), 9)) for i, t, _ in ROWS if i not in (8, None)}
+
+
+def plain_mixed(rows):
+    """(id, text) as often as the mix takes them; rows: (id, text, source), ids unique."""
+    sizes = {i: len(words(t)) for i, t, _ in rows}
+    sources = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    weight, total = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}, Counter()
+    for i, _, s in rows:
+        total[s] += sizes[i]
+    key = lambda i: int(hashlib.md5(f"mix-1|{i}".encode()).hexdigest()[:15], 16)
+    items = []
+    for k, s in enumerate(sources):
+        at = 0
+        for i, t, _ in sorted((r for r in rows if r[2] == s), key=lambda r: (key(r[0]), r[0])):
+            at += sizes[i]
+            items += [((at + p * total[s]) / weight[s], k, key(i), i, t) for p in range(3) if sizes[i]]
+    run, out = 0, []
+    for _, _, _, i, t in sorted(items):
+        run += sizes[i]
+        if run > sum(sizes.values()):
+            break
+        out.append((i, t))
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import tokenizers
+
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("aeionrst") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    good = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    texts = [good(rng.randint(20, 80)) for _ in range(50)]
+    near = [" ".join([*t.split()[:-1], "changed"]) for t in texts[:15]] + [" ".join([*t.split()[:-30], "quite", "changed"]) for t in texts[15:20]]
+    junk = [" ".join(f"{rng.choice(vocabulary)}!!$" for _ in range(30)) for _ in range(30)]
+    every = [*texts, *near, *[t.upper() for t in texts[:10]], *junk, texts[3], "", None, " \n", "one two"]
+    rng.shuffle(every)
+    rows = [(i, t, "en", rng.choice(["a", "a", "b", None, "c"]), len(t or "")) for i, t in enumerate(every)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, 0 if t in junk else 1, 0) for i, t in enumerate(every) if t and i % 2]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    model = classifier.train(sorted_training(rows, labels))
+    kept = [(i, t, s) for i, t, _, s, _ in rows if plain_score(t or "", model) >= classifier.THRESHOLD]
+    last = {(t or "").translate(AZ): i for i, t, _ in kept}
+    kept = [r for r in kept if last[(r[1] or "").translate(AZ)] == r[0]]
+    groups = plain_near([(i, t) for i, t, _ in kept])
+    least = {c: min(r[0] for r, x in zip(kept, groups, strict=True) if x == c) for c in groups}
+    kept = [r for r, c in zip(kept, groups, strict=True) if least[c] == r[0]]
+    library = tokenizers.Tokenizer.from_file(bpe.vocabulary_path())
+    want = Counter()
+    for i, t in plain_mixed(kept):
+        ids = library.encode(t, add_special_tokens=False).ids
+        want[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want and len(want) < len([t for t in every if t and t not in junk]) - 20
+    assert not {i for i, *_ in want} & {i for i, t in enumerate(every) if t in junk}
+
+
+def sorted_training(rows, labels):
+    """What classifier.training_rows gives: labelled rows outside fold 0, by id."""
+    text = {i: t or "" for i, t, *_ in rows}
+    return [(text[i], q) for i, q, _ in sorted(labels) if zlib.crc32(str(i).encode()) % 5]

@@ -135,7 +135,7 @@ def _joined(pages: DataFrame, rules: DataFrame, id_col: str, url_col: str, defau
     index = stored(rarest.select(F.col("_key._t").alias("_t"), regex.alias("_regex"), _entry(F.col("action"), F.col("host"), F.col("path")).alias("_entry")), "url-rules")
     salted = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     asked = urls.select("_host", "_path", F.explode(_tokens(F.col("_host"), F.col("_path"))).alias("_t")).withColumn("_salt", salt())
-    fits = asked.join(salted, ["_t", "_salt"]).where(F.concat("_host", "_path").rlike(F.col("_regex")))
+    fits = asked.join(salted, ["_t", "_salt"]).where(F.regexp_like(F.concat("_host", "_path"), F.col("_regex")))
     best = stored(fits.groupBy("_host", "_path").agg(F.min("_entry").alias("_best")), "url-verdicts")
     rows = parsed.withColumn("_salt", salt())
     return _judged(rows.join(best.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["_host", "_path", "_salt"], "left"), id_col, default)
