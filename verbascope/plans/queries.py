@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexicons as L
-from ..operators.rules import RULE_TYPES, KeywordBold, Rule
+from ..operators.rules import RULE_TYPES, KeywordBold, Rule, SlopWord
 from ..sources.tables import stored
 from . import analytics, phrases
 from ..functions.views import held
@@ -35,17 +35,30 @@ SNIPPETS = (
 )
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with text continued by a snippet."""
+#: Endings with code, tables, names and bold keywords, dealt out alike.
+MARKED_SNIPPETS = (
+    "Here is `inline crucial` text and ``two robust`` ticks, then prose.\n```\ncrucial fence: with words\nand more\n```\nA crucial end.",
+    "| one | two |\n|-----|-----|\n| three. four | five |\n| six | seven |\nAfter the table. It ends.",
+    "We met Crucial Jones and the Robust Systems team at a crucial time.",
+    "The plan has a **very bold** word in it and **another one** here.\n\n**Label.** Text that follows it.",
+    "A fence is next.\n```python\nx = 1\n```\nAnd `a` then `b` follow.\n```\nlast one\n```",
+    "Plain words end this one.",
+)
+
+
+def documents(spark: SparkSession, sf_dir: str, snippets: tuple[str, ...] = SNIPPETS) -> DataFrame:
+    """documents with text continued by a snippet; asterisks of their own go where the snippets are marked up."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ending = F.get(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % len(SNIPPETS)).cast("int"))
-    return df.select("doc_id", "source", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\n"), ending).alias("text"))
+    ending = F.get(F.array(*map(F.lit, snippets)), (F.col("doc_id") % len(snippets)).cast("int"))
+    own = F.coalesce("text", F.lit(""))
+    own = F.translate(own, "*", "") if snippets is MARKED_SNIPPETS else own
+    return df.select("doc_id", "source", F.concat(own, F.lit("\n\n"), ending).alias("text"))
 
 
-def _count_query(rule: type[Rule]) -> Callable[[SparkSession, str], DataFrame]:
+def _count_query(rule: type[Rule], snippets: tuple[str, ...] = SNIPPETS) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         r = rule()
-        return prepared(documents(spark, sf_dir), "text", [r]).select("doc_id", F.coalesce(r.delta(), F.lit(0)).cast("long").alias("hits"))
+        return prepared(documents(spark, sf_dir, snippets), "text", [r]).select("doc_id", F.coalesce(r.delta(), F.lit(0)).cast("long").alias("hits"))
 
     return query
 
@@ -79,6 +92,19 @@ def by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(score(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("role", "text")).drop("text"), "roles").groupBy("role").agg(F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("n"))
 
 
+def code_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words outside of code, characters outside of fences, and fences."""
+    views = prepared(documents(spark, sf_dir, MARKED_SNIPPETS), "text", [], {"v_masked", "v_unfenced", "v_tokens"})
+    fences = F.coalesce(F.size(F.filter("v_tokens", lambda x: x["fence"])), F.lit(0))
+    return views.select("doc_id", F.col("v_words").cast("long").alias("words"), F.length("v_unfenced").cast("long").alias("chars"), F.greatest(fences, F.lit(0)).cast("long").alias("fences"))
+
+
+def plain_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with fences and tables taken as breaks."""
+    views = prepared(documents(spark, sf_dir, MARKED_SNIPPETS), "text", [], {"v_plain_sentences", "v_plain_sentence_words"})
+    return views.select("doc_id", F.size("v_plain_sentences").cast("long").alias("sentences"), F.array_max("v_plain_sentence_words").cast("long").alias("longest"))
+
+
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.views import counts_of, paragraphs, sentences, word_count
 
@@ -142,6 +168,10 @@ def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f"c{i + 1:02d}_{r.count_key}": _count_query(r) for i, r in enumerate(RULE_TYPES)}
     found |= {
+        "a07_code_views": code_views,
+        "b04_plain_sentences": plain_sentences,
+        "b12_named_words": _count_query(SlopWord, MARKED_SNIPPETS),
+        "b23_bold_keywords": _count_query(KeywordBold, MARKED_SNIPPETS),
         "b01_word_counts": word_counts,
         "b07_reused_phrases": reused_phrases,
         "d08_core_scores": core_scores,
@@ -174,6 +204,7 @@ def _listed(items) -> str:
     return "[" + ", ".join(map(_quoted, items)) + "]"
 
 
+_M = f"d AS (SELECT doc_id, replace(coalesce(text, ''), '*', '') || chr(10) || chr(10) || ({_listed(MARKED_SNIPPETS)})[(doc_id % {len(MARKED_SNIPPETS)})::INT + 1] AS t FROM documents)"
 _D = f"d AS (SELECT doc_id, source, coalesce(text, '') || chr(10) || chr(10) || ({_listed(SNIPPETS)})[(doc_id % {len(SNIPPETS)})::INT + 1] AS t FROM documents)"
 _WORD = r"[\p{L}\p{N}_]"
 
@@ -276,6 +307,10 @@ def oracle_sql() -> dict[str, str]:
         "h06_regression": f"{s} SELECT count(*) AS n, round(regr_slope(score, word_count), 6) AS slope, round(regr_intercept(score, word_count), 6) AS intercept, round(corr(word_count, score), 6) AS correlation FROM s",
         "h08_samples": f"{s} SELECT row_number() OVER (ORDER BY doc_id) AS index, doc_id, score, word_count, band FROM s ORDER BY doc_id LIMIT 25",
         "e10_hit_rates": f"WITH {_D} SELECT l.quality AS label, count(*) FILTER (WHERE ({HITS['slop_words']}) > 0) AS matched, count(*) AS total FROM d JOIN labels l USING (doc_id) GROUP BY l.quality",
+        "a07_code_views": f"WITH {_M}, u AS (SELECT doc_id, t, regexp_replace(t, '```[^`]*```\\n?', '', 'g') AS f FROM d) SELECT doc_id, {_n(r'[^\s]+', "regexp_replace(f, '`+[^`]+`+', ' ', 'g')")}::BIGINT AS words, length(f)::BIGINT AS chars, {_n('```[^`]*```', 't')}::BIGINT AS fences FROM u",
+        "b04_plain_sentences": f"WITH {_M.replace('d AS (', 'm AS (', 1)}, d AS (SELECT doc_id, regexp_replace(regexp_replace(t, '```[^`]*```\\n?', chr(10) || '.' || chr(10), 'g'), '(?:\\|[^\\n]*\\|\\n){{4}}', '.' || chr(10), 'g') AS t FROM m) SELECT doc_id, len({_SENTENCES})::BIGINT AS sentences, list_max({_SIZES})::BIGINT AS longest FROM d",
+        "b12_named_words": f"WITH {_M.replace('d AS (', 'm AS (', 1)}, d AS (SELECT doc_id, regexp_replace(regexp_replace(t, '```[^`]*```|`+[^`]+`+', ' ', 'g'), '(?:Crucial|Robust) [A-Z][a-z]+', ' ', 'g') AS t FROM m) SELECT doc_id, ({HITS['slop_words']})::BIGINT AS hits FROM d",
+        "b23_bold_keywords": f"WITH {_M} SELECT doc_id, {_n('[a-z] [*][*][^*\\n]+[*][*] [a-z]')}::BIGINT AS hits FROM d",
         "d16_payload_numbers": f"{s}, z AS (SELECT *, CASE WHEN word_count < 10 THEN 0 ELSE penalties END AS p, CASE WHEN word_count < 10 THEN 0 ELSE weighted END AS x FROM w) SELECT doc_id, -p::BIGINT AS total_penalty, round_even(x, 2) AS weighted_sum, CASE WHEN word_count > 0 THEN round_even(x / (word_count / 1000.0::DOUBLE), 2) ELSE 0::DOUBLE END AS density FROM z",
         "h10_slowest_at_longest": "SELECT l_returnflag, round(avg(l_extendedprice::DOUBLE), 4) AS mean_price FROM lineitem WHERE l_quantity = (SELECT max(l_quantity) FROM lineitem) GROUP BY l_returnflag ORDER BY avg(l_extendedprice::DOUBLE) DESC, l_returnflag LIMIT 2",
         "h11_changed": "SELECT d.source AS key, count(*) AS before, nullif(count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels)), 0) AS after FROM documents d GROUP BY d.source HAVING before IS DISTINCT FROM after",
