@@ -61,6 +61,7 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _STORED.append(path)
     writer = df.write.option("compression", "zstd")
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
@@ -75,6 +76,7 @@ def stored_buckets(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame
     """Like stored(), with rows of one key in one file: joins and groups on it don't shuffle the table again."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    _STORED.append(f"{shared_folder(spark)}/{table}")
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -127,20 +129,53 @@ def running(df: DataFrame, order: list[str], value: str, out: str, within: list[
     return df.withColumn("__here", here).join(before, same).withColumn(out, F.col("__here") + F.col("__before")).drop("__here", "__at", "__before", *[f"__{c}" for c in within])
 
 
+#: Where this driver has stored tables that are still there.
+_STORED: list[str] = []
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a stored table that nothing reads any more."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, path)
+
+
+def cleaned(spark: SparkSession, left: list[str], operator: Callable, *args) -> DataFrame:
+    """operator(*args). Tables that the last call with this list has stored for itself are deleted first: its result must have been written. The list then names those of this call."""
+    while left:
+        _delete(spark, left.pop())
+    before = len(_STORED)
+    result = operator(*args)
+    left += _STORED[before:]
+    return result
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 #: The column of numbered().
 ROW = "__row_number"
 
 
+#: The most files whose numbers are broadcast; the bits of a row's place in its file.
+MOST_FILES, PLACE_BITS = 50_000, 40
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df with a number of its own for each row, stored, so that it stays the same wherever it is read."""
+    """df with a number of its own for each row, the same wherever and however often it is read.
+
+    Rows of a table of files are numbered by file and by place in the file, whatever tasks read them. Other rows, and
+    those of more than MOST_FILES files, are stored with their numbers.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in df.columns:
+        meta = F.col("_metadata")
+        files = df.select(meta["file_path"].alias("__path")).distinct().orderBy("__path").limit(MOST_FILES + 1)
+        paths = [r[0] for r in files.collect()]
+        if len(paths) <= MOST_FILES:
+            table = df.sparkSession.createDataFrame(list(enumerate(paths)), "__file long, __path string")
+            placed = df.select("*", meta["file_path"].alias("__path"), meta["row_index"].alias("__place")).join(F.broadcast(table), "__path")
+            return placed.select(*df.columns, (F.shiftleft("__file", PLACE_BITS) + F.col("__place")).alias(ROW))
     return stored(df.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 

@@ -10,6 +10,8 @@ spanning forest leaves it, and the components of all forests together are the gr
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +21,10 @@ from . import near_copies
 from .components import components, join
 
 SHINGLE, RADIUS = 3, 2
-#: Fingerprints that one shard holds at home, on average; the size that the finer trees go down to.
-SHARD, BLOCK = 131_072, 192
+#: Fingerprints that one shard of a small table holds at home, on average; the size that the finer trees go down to.
+SHARD, BLOCK = 16_384, 192
+#: Shards grow with the table, slower than it, as each border that a tree adds sends fingerprints to more shards.
+SHARD_GROWTH = 0.75
 #: The most fingerprints that the driver sees when it builds the coarse tree.
 SAMPLE = 20_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -184,7 +188,7 @@ def _groups(fps: DataFrame, radius: int) -> DataFrame:
 
 def _coarse_tree(distinct: DataFrame) -> list:
     sample = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
-    return build_tree(sample, -(-distinct.count() // SHARD))
+    return build_tree(sample, math.ceil((distinct.count() / SHARD) ** SHARD_GROWTH))
 
 
 def _shard_edges(usable: DataFrame, nodes: list, radius: int) -> DataFrame:
