@@ -149,7 +149,8 @@ def test_labelled_sources(spark, tmp_path):
 
 def test_sinks(payloads, spark):
     df = spark.createDataFrame([("a", 90, "clean", 12, {"tone": 2, "weasel": 0})], "source string, score int, band string, word_count int, counts map<string,int>")
-    assert df.select(sinks.summary_line(df["source"])).first()[0] == "a: 90/100 [clean] (12 words) tone=2"
+    assert df.select(sinks.summary_line("source")).first()[0] == "a: 90/100 [clean] (12 words) ."
+    assert df.select(sinks.summary_line("source", True)).first()[0] == "a: 90/100 [clean] (12 words) .  (tone=2)"
     assert json.loads(sinks.as_json(df).first()[0])["score"] == 90
     assert sinks.any_below(df, 91) and not sinks.any_below(df, 90)
 
