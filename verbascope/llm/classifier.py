@@ -139,7 +139,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def accepted_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score at least threshold, with all their columns; a filter in place, without a join."""
+    """The rows of docs that score at least threshold, with all their columns, whatever their names; a filter in place, without a join. Null and empty texts have the score of the bias; ids aren't looked at, repeated rows are judged each; an empty table gives no rows."""
     schema = docs.schema
     at = docs.columns.index(text_col)
 

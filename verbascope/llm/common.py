@@ -168,7 +168,8 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     Rows of a table of files are numbered by file and by place in the file, whatever tasks read them. Other rows, and
     those of more than MOST_FILES files, are stored with their numbers.
     """
-    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in df.columns:
+    of_files = df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in df.columns
+    if of_files and "row_index" in df.select("_metadata.*").columns:
         meta = F.col("_metadata")
         files = df.select(meta["file_path"].alias("__path")).distinct().orderBy("__path").limit(MOST_FILES + 1)
         paths = [r[0] for r in files.collect()]
