@@ -755,3 +755,17 @@ def sorted_training(rows, labels):
     """What classifier.training_rows gives: labelled rows outside fold 0, by id."""
     text = {i: t or "" for i, t, *_ in rows}
     return [(text[i], q) for i, q, _ in sorted(labels) if zlib.crc32(str(i).encode()) % 5]
+
+
+def test_rows_are_numbered_alike_however_they_are_read(spark, docs, tmp_path):
+    from verbascope.llm.common import ROW, numbered
+
+    docs.write.parquet(str(tmp_path / "p"))
+    docs.select("doc_id", "text").write.json(str(tmp_path / "j"))
+    table = spark.read.parquet(str(tmp_path / "p"))
+    rows = numbered(table, "test")
+    assert rows.columns == [*table.columns, ROW]
+    again = numbered(table, "test").repartition(7).select(ROW, "text")
+    assert rows.select(ROW).distinct().count() == len(ROWS) == rows.join(again.withColumnRenamed("text", "other"), ROW).where("text <=> other").count()
+    for other in (spark.read.json(str(tmp_path / "j")), table.where("doc_id > 3"), table.limit(0)):
+        assert numbered(other, "test").select(ROW).distinct().count() == other.count()
