@@ -10,7 +10,11 @@ WS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 WS_IN_LINE = r"\t\x0b-\r\x1c-\x20\x85\xa0  -     　"
 #: A character of white space and one of anything else. Classes are tried from the left, so the first part settles nearly all characters.
 SP, NS = rf"[[^!-~]&&[{WS}]]", rf"[!-~[^{WS}]]"
-W = r"[a-zA-Z0-9_\p{L}\p{N}]"
+#: A class of single characters is one table, which is looked up first; ranges are tried one after another.
+_ASCII_WORD = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
+W = rf"[[{_ASCII_WORD}][\p{{L}}\p{{N}}]]"
+#: A character that is neither white space nor a word character.
+SIGN = rf"[[^{_ASCII_WORD} ]&&[^\p{{L}}\p{{N}}]&&[^{WS}]]"
 #: Word boundaries before and after a word character.
 BEFORE, AFTER = rf"(?<!{W})", rf"(?!{W})"
 

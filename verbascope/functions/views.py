@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .patterns import BOLD_BULLET, BULLET, NS, SENTENCE_END, SP, WS, WS_IN_LINE, W
+from .patterns import BOLD_BULLET, BULLET, NS, SENTENCE_END, SIGN, SP, WS, WS_IN_LINE, W
 
 _FENCE = rf"(?<=(?:\A|\n)[{WS_IN_LINE}]{{0,3}})(`{{3,}}+)(?:[^\n]*\n(?:[\s\S]*?\n)?? {{0,3}}\1`*[{WS_IN_LINE}]*(?:\n|\z)|[\s\S]*\z)"
 _INLINE = r"(?<!`)(`++)[^\n]*?(?<!`)\2(?!`)"
@@ -42,9 +42,17 @@ def counts_of(parts: Column) -> Column:
     return F.transform(parts, word_count)
 
 
+def bare_words(text: Column) -> Column:
+    """The text without the signs at its words' ends."""
+    return F.regexp_replace(text, rf"(?={SIGN})(?:(?<!{NS}){SIGN}++|(?<={W}){SIGN}++(?!{NS}))", "")
+
+
 def ngram_tokens(text: Column) -> Column:
     """Words without the signs at their ends, in lower case."""
-    bare = F.regexp_replace(text, rf"(?<!{NS})(?:(?!{W}){NS})++|(?<={W})(?:(?!{W}){NS})++(?!{NS})", "")
+    return lower_words(bare_words(text))
+
+
+def lower_words(bare: Column) -> Column:
     # A capital sigma's lower case depends on where its word ends.
     lower = F.lower(bare)
     each = F.transform(F.split(bare, f"{SP}+"), F.lower)
@@ -105,6 +113,11 @@ def may_hold_table(text: Column) -> Column:
     return F.contains(text, F.lit("|")) & F.contains(text, F.lit("---")) & F.regexp_like(text, F.lit(r"\|[^\n]*+\n[^\n]*?---"))
 
 
+def broken_up(text: Column) -> Column:
+    """Whether fences or tables may break its sentences."""
+    return F.contains(text, F.lit("`")) | may_hold_table(text)
+
+
 #: name -> (what it is read from, expression)
 VIEWS = {
     "v_tokens": (("v_text",), lambda: F.when(F.contains("v_text", F.lit("`")), code_tokens(F.col("v_text")))),
@@ -118,10 +131,11 @@ VIEWS = {
     "v_bold_bullets": (("v_lines",), lambda: F.transform("v_lines", lambda x: F.when(F.regexp_like(x, F.lit(BOLD_BULLET)), "1").otherwise("0"))),
     "v_sentences": (("v_text",), lambda: sentences(F.col("v_text"))),
     "v_sentence_words": (("v_sentences",), lambda: counts_of(F.col("v_sentences"))),
-    "v_plain_sentences": (("v_text", "v_broken", "v_sentences"), lambda: F.when(F.contains("v_text", F.lit("`")) | may_hold_table(F.col("v_text")), sentences(table_breaks(F.col("v_broken")))).otherwise(F.col("v_sentences"))),
-    "v_plain_sentence_words": (("v_plain_sentences",), lambda: counts_of(F.col("v_plain_sentences"))),
+    "v_plain_sentences": (("v_text", "v_broken", "v_sentences"), lambda: F.when(broken_up(F.col("v_text")), sentences(table_breaks(F.col("v_broken")))).otherwise(F.col("v_sentences"))),
+    "v_plain_sentence_words": (("v_text", "v_plain_sentences", "v_sentence_words"), lambda: F.when(broken_up(F.col("v_text")), counts_of(F.col("v_plain_sentences"))).otherwise(F.col("v_sentence_words"))),
     "v_paragraph_words": (("v_text",), lambda: counts_of(paragraphs(F.col("v_text")))),
-    "v_ngrams": (("v_text",), lambda: ngram_tokens(F.col("v_text"))),
+    "v_bare": (("v_text",), lambda: bare_words(F.col("v_text"))),
+    "v_ngrams": (("v_bare",), lambda: lower_words(F.col("v_bare"))),
 }
 
 
