@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from verbascope.operators.rules import RULE_TYPES, default_rules
 from verbascope.plans import analytics, phrases, resolve
@@ -155,6 +156,51 @@ def test_sinks(payloads, spark):
     assert sinks.any_below(df, 91) and not sinks.any_below(df, 90)
 
 
+def test_hits_are_found_once(spark):
+    """A rule's pattern stands in the plan for counting and for one search (three expressions), and the text is bared once."""
+    from verbascope.functions import patterns as P
+
+    df = spark.createDataFrame([("a", "b")], "id string, text string")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000000")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000000")
+    try:
+        plan = analyze(df).select("violations", "advice")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert 0 < plan.count(P.X_NOT_Y) <= 4
+    assert plan.count("AS v_bare") == 1
+
+
+def test_signs_at_word_ends(spark):
+    """The tokens of random texts against their definition, word by word."""
+    from verbascope.functions.views import ngram_tokens
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("aZé9_.'—!Σσ\u0301\u2003 \n\x1c", k=rng.randrange(40))) for _ in range(400)]
+
+    def plain(text):
+        words = [re.sub(r"^[^\w]+|[^\w]+$", "", w) for w in text.split()]
+        return [w.lower() for w in words if w]
+
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", ngram_tokens(F.col("text")).alias("t")).collect()
+    assert {r.i: r.t for r in found} == {i: plain(t) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("name", ["d15_payload", "d10_advice"])
+def test_one_row_group_is_read_by_many_tasks(spark, tmp_path, name):
+    """A table whose rows are all in one group of one file is analysed by more than one task."""
+    import __spark_entry__ as entry
+
+    spark.range(40).selectExpr("id AS doc_id", "'x' AS source", "concat('Many believe in plan ', id, '.') AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join so few rows again
+    try:
+        found = entry.queries()[name](spark, str(tmp_path))
+        assert found.select("doc_id", F.spark_partition_id().alias("p")).agg(F.count_distinct("p")).first()[0] > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_names_match():
     import __spark_entry__ as entry
 

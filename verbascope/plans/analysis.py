@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import exact_round
 from ..functions.views import VIEWS, held, materialise
-from ..operators.rules import VIOLATION, PhraseReuse, Rule, default_rules
+from ..operators.rules import VIOLATION, CappedRule, PhraseReuse, Rule, default_rules
 from .phrases import reuse_column
 from .resolve import resolve_spans
 
@@ -104,11 +104,17 @@ def analyze(df: DataFrame, text_col: str = "text", rules: list[Rule] | None = No
     """
     rules = default_rules() if rules is None else rules
     kept = df.columns
-    work = with_counts(prepared(df, text_col, rules), rules, hp)
+    work = prepared(df, text_col, rules)
     short = (F.col("v_words") < hp.short_text_word_count) | F.col("v_text").isNull()
+    # Hits are found once: those that are counted before the counts, others where something was counted.
+    hits = {i: h for i, r in enumerate(rules) if (h := r.hits()) is not None}
+    rules = [r.reading(f"h_{i}") if i in hits else r for i, r in enumerate(rules)]
+    work = work.withColumns({f"h_{i}": held(F.when(~short, h)) for i, h in hits.items() if rules[i].COUNTS_HITS})
+    work = with_counts(work, rules, hp)
+    work = work.withColumns({f"h_{i}": held(F.when(F.col(f"d_{i}") != 0, h)) for i, h in hits.items() if not rules[i].COUNTS_HITS})
     none, silent = F.array().cast(VIOLATION), F.array().cast("array<string>")
     work = work.withColumns({f"f_{i}": F.when(short | (F.col(f"d_{i}") == 0), none).otherwise(r.found()) for i, r in enumerate(rules)})
-    work = work.withColumns({f"a_{i}": F.when(short | (F.size(f"f_{i}") == 0), silent).otherwise(r.advice()) for i, r in enumerate(rules)})
+    work = work.withColumns({f"a_{i}": F.when(short | (F.col(f"d_{i}") == 0) | (F.size(r.shown()) == 0 if isinstance(r, CappedRule) else F.lit(False)), silent).otherwise(r.advice()) for i, r in enumerate(rules)})
     work = work.withColumns({"_weighted": held(weighted_sum(rules, hp)), "_found": F.concat(*[F.col(f"f_{i}") for i in range(len(rules))])})
     density = F.when(F.col("v_words") > 0, F.col("_weighted") / (F.col("v_words") / F.lit(hp.density_words_basis))).otherwise(0.0)
     work = work.withColumn("_density", F.when(short, F.lit(0.0)).otherwise(density))

@@ -55,6 +55,11 @@ def documents(spark: SparkSession, sf_dir: str, snippets: tuple[str, ...] = SNIP
     return df.select("doc_id", "source", F.concat(own, F.lit("\n\n"), ending).alias("text"))
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, dealt out evenly: a file may hold all of its rows in one group, which only one task reads, and analysing a text costs far more than sending it."""
+    return documents(spark, sf_dir).repartition("doc_id", "text")
+
+
 def _count_query(rule: type[Rule], snippets: tuple[str, ...] = SNIPPETS) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         r = rule()
@@ -80,11 +85,11 @@ def full_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze(documents(spark, sf_dir), "text").drop("text", "source", "counts").withColumn("violations", F.to_json("violations"))
+    return analyze(dealt(spark, sf_dir), "text").drop("text", "source", "counts").withColumn("violations", F.to_json("violations"))
 
 
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = analyze(documents(spark, sf_dir), "text").select("doc_id", held(F.col("violations")).alias("violations"))
+    found = analyze(dealt(spark, sf_dir), "text").select("doc_id", held(F.col("violations")).alias("violations"))
     return found.select("doc_id", F.explode("violations").alias("v")).select("doc_id", "v.*")
 
 
@@ -148,7 +153,7 @@ def payload_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of advice in their order, each once per document."""
-    found = analyze(documents(spark, sf_dir).select("doc_id", "text"), "text", spans=False)
+    found = analyze(dealt(spark, sf_dir).select("doc_id", "text"), "text", spans=False)
     return found.select("doc_id", held(F.col("advice")).alias("advice")).select("doc_id", F.posexplode("advice").alias("place", "advice"))
 
 
