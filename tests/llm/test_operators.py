@@ -769,3 +769,34 @@ def test_rows_are_numbered_alike_however_they_are_read(spark, docs, tmp_path):
     assert rows.select(ROW).distinct().count() == len(ROWS) == rows.join(again.withColumnRenamed("text", "other"), ROW).where("text <=> other").count()
     for other in (spark.read.json(str(tmp_path / "j")), table.where("doc_id > 3"), table.limit(0)):
         assert numbered(other, "test").select(ROW).distinct().count() == other.count()
+
+
+@pytest.mark.parametrize("most_blocks", [None, 1])
+def test_counted_rows_give_what_a_join_gives(spark, monkeypatch, most_blocks):
+    """Numbers at the edges of blocks and files; with more blocks than allowed by a shuffled join."""
+    from verbascope.llm import common
+
+    if most_blocks:
+        monkeypatch.setattr(common, "MOST_BLOCKS", most_blocks)
+    rng = random.Random(3)
+    numbers = [f << common.PLACE_BITS | p for f in (0, 1, 7) for p in (*range(130), 1 << 33)]
+    rows = spark.createDataFrame([(str(n), n) for n in numbers], f"`a.b` string, {common.ROW} long")
+    want = {n: rng.randint(1, 3) for n in rng.sample(numbers, 200)} | {0: 3, 63: 3, 64: 1}
+    counts = spark.createDataFrame(list(want.items()), f"{common.ROW} long, times int")
+    got = common.counted_rows(rows, counts, "times", 3, "test").collect()
+    assert sorted((r["a.b"], r["times"]) for r in got) == sorted((str(n), t) for n, t in want.items())
+    kept = common.rows_in(rows, counts.unionAll(counts), "test")
+    assert kept.columns == rows.columns and sorted(r[common.ROW] for r in kept.collect()) == sorted(want)
+
+
+def test_texts_stay_where_they_are(spark, docs, tmp_path):
+    """Keeping one row of each group and taking the mix shuffles no texts, however little Spark would broadcast by itself."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage in (exact_dedup.keep_one, simhash.one_of_each, mixing.mixed_documents):
+            plan = stage(table)._jdf.queryExecution().sparkPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan, stage
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

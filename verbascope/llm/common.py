@@ -180,6 +180,33 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return stored(df.withColumn(ROW, F.monotonically_increasing_id()), name)
 
 
+#: The most blocks of 64 numbers that are broadcast.
+MOST_BLOCKS = 1 << 19
+
+
+def counted_rows(rows: DataFrame, counts: DataFrame, times: str, most: int, name: str) -> DataFrame:
+    """numbered() rows that counts (ROW, once each, and times, from 1 to most) holds, with times.
+
+    Rows stay where they are, however long: what goes to them is the counts' binary digits, packed by blocks of 64 row
+    numbers. Only where there are more than MOST_BLOCKS of those, rows and counts are shuffled.
+    """
+    one, digits = F.lit(1).cast("long"), range(most.bit_length())
+    place = F.col(ROW).bitwiseAND(F.lit(63)).cast("int")
+    set_bits = [F.bit_or(F.call_function("shiftleft", F.shiftright(F.col(times).cast("long"), d).bitwiseAND(one), place)).alias(f"__bits{d}") for d in digits]
+    blocks = stored(counts.groupBy(F.shiftright(ROW, 6).alias("__block")).agg(*set_bits), name)
+    if blocks.count() > MOST_BLOCKS:
+        return rows.join(counts.select(ROW, times), ROW).select(*[F.col(f"`{c}`") for c in [*rows.columns, times]])
+    found = rows.withColumn("__block", F.shiftright(ROW, 6)).join(F.broadcast(blocks), "__block")
+    bits = [F.call_function("shiftright", F.col(f"__bits{d}"), place).bitwiseAND(one) for d in digits]
+    total = reduce(lambda a, b: a + b, (F.shiftleft(b, d) for d, b in zip(digits, bits)))
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], total.cast("int").alias(times)).where(F.col(times) > 0)
+
+
+def rows_in(rows: DataFrame, kept: DataFrame, name: str) -> DataFrame:
+    """numbered() rows whose number is in kept's column ROW, where it may repeat."""
+    return counted_rows(rows, kept.select(ROW).distinct().withColumn("__times", F.lit(1)), "__times", 1, name).drop("__times")
+
+
 class Cache(dict):
     """Two generations of at most size entries each; what isn't found is made."""
 

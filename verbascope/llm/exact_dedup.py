@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, join_hot, lower_az, numbered, stored, text_or_empty
+from .common import ROW, join_hot, lower_az, numbered, rows_in, stored, text_or_empty
 
 SALTS = 16
 
@@ -50,7 +50,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     """One row of each group of equal texts, with all columns of docs: that with the largest id, a null id only where all are; of rows that repeat id and text the first by a stored number. An empty table gives no rows."""
     rows = numbered(docs, "exact-dedup-rows")
     winners = _winners(_keyed(rows, id_col, text_col, [ROW]), salts, F.struct("_id", (-F.col(ROW)).alias("_first")))
-    return rows.join(winners.select((-F.col("_best._first")).alias(ROW)), ROW, "left_semi").select(*docs.columns)
+    return rows_in(rows, winners.select((-F.col("_best._first")).alias(ROW)), "exact-dedup-kept").select(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RANGE, ROW, WORD, join_hot, numbered, ranged, running, stored, text_or_empty
+from .common import RANGE, ROW, WORD, counted_rows, join_hot, numbered, ranged, running, stored, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 PASSES = 3
@@ -100,8 +100,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The mix itself: each row as many times as it is taken, with the columns of docs, in no order. Ids may repeat or be null: rows have a number of their own. Rows without words are part of no queue and go."""
     rows = numbered(docs, "mix-rows")
     plan = _mix(rows, id_col, "text", "source", WEIGHTS, PASSES, 1.0, SEED, F.col(ROW)).where("taken > 0")
-    plan = plan.select(F.col(ROW), F.array_repeat(F.lit(0), (F.col("taken") / F.col("size")).cast("int")).alias("__mix_copies"))
-    return rows.join(plan, ROW).select(*docs.columns, F.explode("__mix_copies").alias("__mix_copy")).drop("__mix_copy")
+    plan = plan.select(F.col(ROW), (F.col("taken") / F.col("size")).cast("int").alias("__mix_times"))
+    mixed = counted_rows(rows, plan, "__mix_times", PASSES, "mix-copies")
+    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("__mix_times"))).alias("__mix_copy")).drop("__mix_copy")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

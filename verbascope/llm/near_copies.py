@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ROW, UPPER, join_hot, stored
+from .common import LOWER, ROW, UPPER, join_hot, rows_in, stored
 from .components import components, find, join
 
 SHINGLE = 5
@@ -214,7 +214,7 @@ def _candidates(shared: DataFrame, buckets: int, forest: float | None) -> DataFr
 
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs u, v of row numbers whose texts are similar."""
+    """Those of the pairs u, v of row numbers whose texts are similar. Pairs are read more than once, so they should be stored."""
 
     def compare(batches):
         import pyarrow as pa
@@ -224,6 +224,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             u, v = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             yield batch.select(["u", "v"]).filter(pa.array([similar(sets(a), sets(b)) for a, b in zip(u, v)], pa.bool_()))
 
+    texts = rows_in(texts, pairs.select(F.col("u").alias(ROW)).unionAll(pairs.select("v")), "near-pair-rows")
     one = _with_text(pairs, texts, "u", "x")
     return _with_text(one, texts, "v", "y").select("u", "v", "x", "y").mapInArrow(compare, "u long, v long")
 
@@ -240,12 +241,11 @@ def links(texts: DataFrame, described: DataFrame, common: np.ndarray, counts: np
     buckets = max(64, -(-total // WHOLE // BUCKET_ROWS))
     shared = stored(_shared(texts, common, counts, buckets), "near-shared")
     shared = stored(shared.join(described.select(F.col("rep").alias("row"), "bits"), "row"), "near-meetings")
-    some = stored(texts.join(shared.select(F.col("row").alias(ROW)).distinct(), ROW, "left_semi"), "near-texts")
     found = components(edges)
     for forest in [*FORESTS, None]:
         now = shared.join(found, F.col("row") == F.col("node"), "left").select(*shared.columns, F.coalesce("component", "row").alias("component"))
         pairs = stored(_candidates(now, buckets, forest), "near-pairs")
-        edges = edges.unionAll(stored(linked(pairs, some), "near-links"))
+        edges = edges.unionAll(stored(linked(pairs, texts), "near-links"))
         found = components(edges)
     return found
 

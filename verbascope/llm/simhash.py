@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, ROW, UPPER, join_hot, numbered, stored
+from .common import LOWER, ROW, UPPER, join_hot, numbered, rows_in, stored
 from . import near_copies
 from .components import components, join
 
@@ -233,14 +233,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = read.where("row is not null")
     groups = stored(sets.groupBy("a", "b").agg(F.min(F.struct("row", "n", "bits", "fp")).alias("x"), F.count(F.lit(1)).alias("rows")).select("a", "b", "rows", F.col("x.row").alias("rep"), "x.n", "x.bits", "x.fp"), "near-groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    texts = rows.select(ROW, F.col(text_col).alias("text")).join(groups.select(F.col("rep").alias(ROW)), ROW, "left_semi")
+    texts = rows_in(rows.select(ROW, F.col(text_col).alias("text")), groups.select(F.col("rep").alias(ROW)), "near-reps")
     near = stored(_near_prints(groups.select("fp", "rep")), "near-prints")
     known = stored(near_copies.linked(near, texts), "near-links")
     found = near_copies.links(texts, groups, *near_copies.common_shingles(read), total, known)
     heads = stored(groups.join(found, F.col("rep") == F.col("node"), "left").select("a", "b", "rows", F.coalesce("component", "rep").alias("component")), "near-heads")
     whole = heads.withColumn("set", F.struct("a", "b")).select("set", "rows", "component")
     best = join_hot(sets.select(F.struct("a", "b").alias("set"), "id", "row"), whole, "set", "rows").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("best"))
-    return rows.join(best.select(F.col("best.row").alias(ROW)), ROW, "left_semi").select(*docs.columns)
+    return rows_in(rows, best.select(F.col("best.row").alias(ROW)), "near-kept").select(*docs.columns)
 
 
 def _near_prints(prints: DataFrame) -> DataFrame:
