@@ -790,13 +790,33 @@ def test_counted_rows_give_what_a_join_gives(spark, monkeypatch, most_blocks):
 
 
 def test_texts_stay_where_they_are(spark, docs, tmp_path):
-    """Keeping one row of each group and taking the mix shuffles no texts, however little Spark would broadcast by itself."""
+    """Keeping one row of equal texts and taking the mix join no texts by a shuffle, however little Spark would broadcast by itself."""
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     table = spark.read.parquet(str(tmp_path / "documents.parquet"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for stage in (exact_dedup.keep_one, simhash.one_of_each, mixing.mixed_documents):
+        for stage in (exact_dedup.keep_one, mixing.mixed_documents):
             plan = stage(table)._jdf.queryExecution().sparkPlan().toString()
             assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan, stage
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_task_gives_back_what_the_one_before_held():
+    import gc
+    import weakref
+
+    from verbascope.llm.common import give_back
+
+    gc.disable()
+    try:
+        merges, special = bpe.load(bpe.vocabulary_path())
+        digester = bpe.Digester(merges, special)
+        encoder = bpe.TextEncoder(merges, special, digester.view, digester.part)
+        digester.digest(encoder.encode("some words to remember"))
+        held = [weakref.ref(encoder), weakref.ref(digester)]
+        del digester, encoder
+        give_back()
+        assert all(x() is None for x in held)
+    finally:
+        gc.enable()

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cache
+from .common import Cache, give_back
 
 END = "</w>"
 #: White space as the vocabulary's \s has it.
@@ -325,6 +325,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         import pyarrow as pa
 
+        give_back()
         merges, special = load(path)
         encoder = TextEncoder(merges, special)
         spelled = spelled_text(merges, special)
@@ -353,6 +354,7 @@ def digest_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def run(batches):
         import pyarrow as pa
 
+        give_back()
         merges, special = load(path)
         digester = Digester(merges, special)
         encoder = TextEncoder(merges, special, digester.view, digester.part)

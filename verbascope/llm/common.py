@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -207,6 +209,15 @@ def rows_in(rows: DataFrame, kept: DataFrame, name: str) -> DataFrame:
     return counted_rows(rows, kept.select(ROW).distinct().withColumn("__times", F.lit(1)), "__times", 1, name).drop("__times")
 
 
+def give_back() -> None:
+    """Gives memory that earlier tasks of this Python worker are done with back to the system. A worker goes on to other tasks and operators; caches that refer to their owners would wait for a full collection, and freed pages stay with the worker."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
 class Cache(dict):
     """Two generations of at most size entries each; what isn't found is made."""
 
