@@ -370,6 +370,48 @@ def test_katz_spreads_hot_words_and_cuts_long_texts(spark, monkeypatch):
     assert spread == {r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in katz.score(df, katz.fit(df)).collect()}
 
 
+def test_katz_buckets_have_tasks_of_their_own(spark):
+    def task(table):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        return pa.table({"task": [TaskContext.get().partitionId()]})
+
+    model = katz.fit(spark.createDataFrame([(i, " ".join(f"w{(i * k) % 997}" for k in range(60))) for i in range(300)], "doc_id long, text string"))
+    for table in (model.ngrams, model.histories):
+        buckets, tasks = table.count(), [r.task for r in table.groupBy("bucket").applyInArrow(task, "task long").collect()]
+        assert buckets == len(tasks) == len(set(tasks)) == katz.LEAST_BUCKETS
+
+
+def test_katz_evaluates_a_bucket_batch_by_batch(spark, monkeypatch, tmp_path):
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    rng, folder, plain = random.Random(5), str(tmp_path), PandasCogroupedOps.applyInArrow
+    df = spark.createDataFrame([(i, " ".join(f"w{rng.randint(0, 50)}" for _ in range(999))) for i in range(400)], "doc_id long, text string").coalesce(1)
+
+    def traced(self, f, schema):
+        def run(left, right):
+            import tracemalloc
+            from pathlib import Path
+            from uuid import uuid4
+
+            tracemalloc.start()
+            out = f(left, right)
+            Path(folder, uuid4().hex).write_text(str(tracemalloc.get_traced_memory()[1]))
+            tracemalloc.stop()
+            return out
+
+        return plain(self, run, schema)
+
+    monkeypatch.setattr(katz, "LEAST_BUCKETS", 1)
+    monkeypatch.setattr(katz, "BATCH_TOKENS", 20_000)
+    model = katz.fit(df)
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", traced)
+    assert sum(r.n_tokens for r in katz.score(df, model).collect()) == 400_000
+    peaks = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert peaks and max(peaks) < 16 * 400_000, peaks  # bytes
+
+
 def test_html_layout(spark):
     show = html_text.extract
     assert show("<table><tr><td>a<td>bbb<tr><td>cccc<td>d</table>") == "a     bbb\ncccc  d"

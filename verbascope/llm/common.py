@@ -75,14 +75,14 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
 
 
 def stored_buckets(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
-    """Like stored(), with rows of one key in one file: joins and groups on it don't shuffle the table again."""
+    """Like stored(), with rows of one key in files of its bucket: joins and groups on it don't shuffle the table again. df should have the rows of a key in one task, or there are many files."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
     _STORED.append(f"{shared_folder(spark)}/{table}")
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", f"{shared_folder(spark)}/{table}").option("compression", "zstd").saveAsTable(table)
+        df.write.bucketBy(buckets, by).option("path", f"{shared_folder(spark)}/{table}").option("compression", "zstd").saveAsTable(table)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.table(table)

@@ -16,20 +16,22 @@ corpus; the driver sees a few sums.
 
 score() takes any documents. Tokens go to their word's bucket, where the pair's count, the word's count and, but for
 rare histories, alpha(h) are at hand. Tokens that back off from a history that the bucket doesn't know go on to the
-history's bucket. The model's tables are stored by bucket, so that only tokens are shuffled.
+history's bucket. The model's tables are stored by bucket, so that only tokens are shuffled. Each bucket is a task of its
+own, which unpacks the tokens of one batch of texts after the other.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections import Counter
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, dropped, stored, stored_buckets
+from .common import LOWER, UPPER, dropped, give_back, stored, stored_buckets
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Hashes of what stands for the start and the end of a text; no word is empty or holds a blank.
@@ -38,8 +40,8 @@ START, END = b" ", b""
 K = 5
 #: Tokens of a bucket, about, and the fewest buckets; bytes that a token takes in a text, about.
 BUCKET_TOKENS, LEAST_BUCKETS, TOKEN_BYTES = 5_000_000, 24, 6
-#: Tokens that a map task packs at once.
-BATCH_TOKENS = 4_500_000
+#: Tokens that a map task packs at once; bytes that Spark and Python hand to each other at once, about; pairs that a bucket adds up at once, about.
+BATCH_TOKENS, SENT_BYTES, ADDED_PAIRS = 1_500_000, 4 << 20, 500_000
 #: Rows, about, spread over the whole table, that are read to find words of a large share; they only steer how work is spread. A word with
 #: HOT_SHARE of a bucket's share of the corpus is spread.
 HOT_ROWS, HOT_SHARE = 4_000, 1 / 8
@@ -70,6 +72,18 @@ def _unpack(data: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Spark hands SENT_BYTES at once to Python in queries that run meanwhile; its default, 64 MB, stands in buffers outside the heap, once or twice over for each task, and again in the worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(SENT_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def is_held_out(doc_id: Column, folds: int = 10) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
@@ -86,16 +100,35 @@ class _Words(dict):
 
 
 def _batches(docs: DataFrame, flush, columns: list[Column], schema: str) -> DataFrame:
-    """flush(hashes of the words by number, numbers of the words and of the words before them, text of each, other columns of each text) -> rows (bucket, data), for batches of BATCH_TOKENS; long texts are cut."""
+    """flush(hashes of the words, sorted, places of the words and of the words before them, text of each, other columns of each text) -> rows (bucket, data), for batches of BATCH_TOKENS; long texts are cut."""
 
     def run(batches):
         import pyarrow as pa
 
-        words, w, h, rows, n = _Words(), [], [], [], 0
+        words, ids, rows, n = _Words(), [], [], 0
 
         def out():
             hashes = np.fromiter(map(_hash, words), np.uint64, len(words))
-            found = list(flush(hashes, np.concatenate(w), np.concatenate(h), np.repeat(np.arange(len(w), dtype=np.int32), [len(x) for x in w]), rows))
+            words.clear()
+            order = np.argsort(hashes)
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            w, h = place[np.concatenate([x[1:] for x in ids])], place[np.concatenate([x[:-1] for x in ids])]
+            d = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) - 1 for x in ids])
+            ids.clear()
+            found, held = [], 0
+            for row in flush(hashes[order], w, h, d, rows):
+                found.append(row)
+                held += len(row[1])
+                if held >= SENT_BYTES:
+                    yield batch_of(found)
+                    found, held = [], 0
+            if found:
+                yield batch_of(found)
+            del w, h, d, found, row
+            give_back()
+
+        def batch_of(found):
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "data"])
 
         for batch in batches:
@@ -104,16 +137,14 @@ def _batches(docs: DataFrame, flush, columns: list[Column], schema: str) -> Data
                 for text, *row in zip(*(part.column(i).to_pylist() for i in range(part.num_columns)), strict=True):
                     found = [START, *(text or "").encode().translate(_LOWER).split(), END]
                     for k in range(0, len(found) - 1, BATCH_TOKENS):
-                        ids = np.fromiter(map(words.__getitem__, found[k : k + BATCH_TOKENS + 1]), np.int32)
-                        w.append(ids[1:])
-                        h.append(ids[:-1])
+                        ids.append(np.fromiter(map(words.__getitem__, found[k : k + BATCH_TOKENS + 1]), np.int32))
                         rows.append(row)
-                        n += len(ids) - 1
+                        n += len(ids[-1]) - 1
                         if n >= BATCH_TOKENS:
-                            yield out()
-                            words, w, h, rows, n = _Words(), [], [], [], 0
+                            yield from out()
+                            words, ids, rows, n = _Words(), [], [], 0
         if n:
-            yield out()
+            yield from out()
 
     return docs.select(*columns).mapInArrow(run, schema)
 
@@ -137,37 +168,49 @@ def _slices(b: np.ndarray):
             yield int(b[lo]), slice(lo, hi)
 
 
-def _pair_blobs(docs: DataFrame, buckets: int, hot: np.ndarray, text_col: str) -> DataFrame:
-    """bucket, data: the different pairs of a batch whose words fall into the bucket, and how often each comes."""
+def bucket_keys(spark: SparkSession, buckets: int) -> np.ndarray:
+    """By number of a bucket, what stands for it in tables: Spark's hash sends each of these to a task of its own, where the numbers themselves would meet in some."""
+    at = F.pmod(F.hash("id"), F.lit(buckets)).alias("at")
+    found = dict(spark.range(64 * buckets).groupBy(at).agg(F.min("id")).collect())
+    return np.array([found[i] for i in range(buckets)], np.int64)
+
+
+def _dealt(hashes: np.ndarray, w: np.ndarray, h: np.ndarray, keys: np.ndarray, hot: np.ndarray):
+    """(key of a bucket, places of its tokens, those places' words and histories as one sorted number) for each bucket."""
+    b = _bucket_of(hashes, w, h, len(keys), hot)
+    if len(keys) < 1 << 15:  # such are sorted in one pass
+        b = b.astype(np.int16)
+    order = np.argsort(b, kind="stable")
+    for bucket, s in _slices(b[order]):
+        at = order[s]
+        key = (w[at].astype(np.int64) << 32) | h[at]
+        by = np.argsort(key)
+        yield int(keys[bucket]), at[by], key[by]
+
+
+def _pair_blobs(docs: DataFrame, keys: np.ndarray, hot: np.ndarray, text_col: str) -> DataFrame:
+    """bucket, data: the different pairs of a batch whose words fall into the bucket, by the hashes of word and history, and how often each comes."""
 
     def flush(hashes, w, h, _, rows):
-        key = np.sort((w.astype(np.int64) << 32) | h)
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        count = np.diff(np.append(first, len(key)))
-        w, h = (key[first] >> 32).astype(np.int32), (key[first] & 0xFFFFFFFF).astype(np.int32)
-        b = _bucket_of(hashes, w, h, buckets, hot)
-        order = np.argsort(b, kind="stable")
-        b, w, h, count = b[order], w[order], h[order], count[order]
-        for bucket, s in _slices(b):
-            wu, wn = np.unique(w[s], return_counts=True)
-            hu, hx = np.unique(h[s], return_inverse=True)
-            yield bucket, _pack(hashes[wu], _small(wn), hashes[hu], _small(hx), _small(count[s]))
+        for bucket, _, key in _dealt(hashes, w, h, keys, hot):
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            count = np.diff(np.append(first, len(key)))
+            wu, wn = np.unique(key[first] >> 32, return_counts=True)
+            hu, hx = np.unique(key[first] & 0xFFFFFFFF, return_inverse=True)
+            yield bucket, _pack(hashes[wu], _small(wn), hashes[hu], _small(hx), _small(count))
 
     return _batches(docs, flush, [F.col(text_col).alias("text")], "bucket long, data binary")
 
 
-def _token_blobs(docs: DataFrame, buckets: int, hot: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """bucket, data: the tokens of a batch of texts whose words fall into the bucket, sorted by word and history, and the text of each."""
+def _token_blobs(docs: DataFrame, keys: np.ndarray, hot: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """bucket, data: the tokens of a batch of texts whose words fall into the bucket, sorted by the hashes of word and history, and the text of each."""
 
     def flush(hashes, w, h, d, rows):
         row, doc, held_out = (np.array(x) for x in zip(*rows, strict=True))
-        b = _bucket_of(hashes, w, h, buckets, hot)
-        order = np.lexsort((h, w, b)) if len(hashes) >= 1 << 23 else np.argsort((b.astype(np.int64) << 46) | (w.astype(np.int64) << 23) | h)
-        b, w, h, d = b[order], w[order], h[order], d[order]
-        for bucket, s in _slices(b):
-            wu, wn = np.unique(w[s], return_counts=True)
-            hu, hx = np.unique(h[s], return_inverse=True)
-            du, dx = np.unique(d[s], return_inverse=True)
+        for bucket, at, key in _dealt(hashes, w, h, keys, hot):
+            wu, wn = np.unique(key >> 32, return_counts=True)
+            hu, hx = np.unique(key & 0xFFFFFFFF, return_inverse=True)
+            du, dx = np.unique(d[at], return_inverse=True)
             yield bucket, _pack(hashes[wu], _small(wn), hashes[hu], _small(hx), row[du], doc[du], held_out[du], _small(dx))
 
     columns = [F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), is_held_out(F.col(id_col)).alias("held_out")]
@@ -204,19 +247,33 @@ class _Bucket:
     count: np.ndarray
 
     @classmethod
-    def added(cls, blobs: list[bytes]) -> _Bucket:
+    def added(cls, blobs) -> _Bucket:
+        """The sum of what batches have packed. Pairs are added up in ranges of words, about ADDED_PAIRS at a time."""
         parts = [_unpack(x) for x in blobs]
         words, ws = _joined(parts, 0)
         histories, hs = _joined(parts, 2)
-        key = np.concatenate([(np.repeat(w, p[1]).astype(np.int64) << 32) | h[p[3]] for p, w, h in zip(parts, ws, hs, strict=True)])
-        n = np.concatenate([p[4].astype(np.int64) for p in parts])
-        del parts, ws, hs
-        order = np.argsort(key)
-        key, n = key[order], n[order]
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        count = np.add.reduceat(n, first)
-        w, h = (key[first] >> 32).astype(np.int32), (key[first] & 0xFFFFFFFF).astype(np.int32)
-        return cls(words, np.bincount(w, weights=count, minlength=len(words)).astype(np.int64), histories, w, h, count)
+        ends = [np.cumsum(p[1], dtype=np.int64) for p in parts]
+        upto = np.cumsum(sum(np.bincount(w, weights=p[1], minlength=len(words)) for p, w in zip(parts, ws, strict=True)))
+        cuts = np.unique(np.append(np.searchsorted(upto, np.arange(0, upto[-1], ADDED_PAIRS)), len(words)))
+        word_count, found = np.zeros(len(words), np.int64), []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            keys, counts = [], []
+            for p, w, h, end in zip(parts, ws, hs, ends, strict=True):
+                i, k = np.searchsorted(w, (lo, hi))
+                if i < k:
+                    s = slice(end[i] - p[1][i], end[k - 1])
+                    keys.append((np.repeat(w[i:k], p[1][i:k]).astype(np.int64) << 32) | h[p[3][s]])
+                    counts.append(p[4][s])
+            key, n = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            n = np.add.reduceat(n, first, dtype=np.int64)
+            w, h = (key[first] >> 32).astype(np.int32), (key[first] & 0xFFFFFFFF).astype(np.int32)
+            word_count[lo:hi] = np.bincount(w - lo, weights=n, minlength=hi - lo)
+            found.append((_small(w), _small(h), _small(n)))
+        del parts, ws, hs, ends
+        return cls(words, word_count, histories, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
     def packed(self) -> bytes:
         return _pack(self.words, _small(self.word_count), self.histories, _small(self.pair_word), _small(self.pair_history), _small(self.count))
@@ -262,7 +319,7 @@ class Katz:
 
     ngrams: DataFrame
     histories: DataFrame
-    buckets: int
+    keys: np.ndarray
     hot: np.ndarray
     hot_counts: np.ndarray
     tokens: int
@@ -305,21 +362,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Katz
     """Counts over the rows that are not held out. Null text counts as empty; a null id counts as not held out; without rows every word is unknown."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-(size // TOKEN_BYTES) // BUCKET_TOKENS))
+    keys = bucket_keys(docs.sparkSession, buckets)
     hot = hot_words(docs, text_col, HOT_ROWS * buckets // LEAST_BUCKETS, HOT_SHARE / buckets)
 
     def added(table):
         import pyarrow as pa
 
-        b = _Bucket.added(table.column("data").to_pylist())
+        b = _Bucket.added(x.as_py() for x in table.column("data"))
         cw = b.word_count[~np.isin(b.words, hot)]
         at = _where(b.words, hot)
         hot_counts = np.where(at >= 0, b.word_count[at], 0) if len(b.words) else np.zeros(len(hot), np.int64)
         stat = [int(b.word_count.sum()), len(cw), *(int((cw == r).sum()) for r in range(1, K + 2)), *(int((b.count == r).sum()) for r in range(1, K + 2)), *hot_counts.tolist()]
-        return pa.table({"bucket": table.column("bucket").slice(0, 1), "stat": pa.array([stat], pa.list_(pa.int64())), "data": pa.array([b.packed()], pa.binary())})
+        data = b.packed()
+        del b, cw, at
+        give_back()
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "stat": pa.array([stat], pa.list_(pa.int64())), "data": pa.array([data], pa.binary())})
 
     train = docs.where(~is_held_out(F.col(id_col)))
-    counted = _pair_blobs(train, buckets, hot, text_col).groupBy("bucket").applyInArrow(added, "bucket long, stat array<long>, data binary")
-    pairs = stored_buckets(counted, "katz-pairs", "bucket", buckets)
+    counted = _pair_blobs(train, keys, hot, text_col).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(added, "bucket long, stat array<long>, data binary")
+    with _small_batches(docs.sparkSession):
+        pairs = stored_buckets(counted, "katz-pairs", "bucket", buckets)
     sums = pairs.agg(*[F.sum(F.col("stat")[i]).alias(f"s{i}") for i in range(2 + 2 * (K + 1) + len(hot))]).first()
     stat = [int(x or 0) for x in sums]
     tokens, hot_counts = stat[0], np.array(stat[2 + 2 * (K + 1) :], np.int64)
@@ -329,15 +391,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Katz
     scale = 1 / max(tokens, 1)
     if unknown <= 0:
         unknown, scale = 1 / (tokens + 1), 1 / (tokens + 1)
-    ngrams, histories = _with_sums(pairs, buckets, hot, hot_counts)
+    with _small_batches(docs.sparkSession):
+        ngrams, histories = _with_sums(pairs, keys, hot, hot_counts)
     dropped(pairs)
-    return Katz(ngrams, histories, buckets, hot, hot_counts, tokens, stat[1] + int((hot_counts > 0).sum()), dw, good_turing(stat[2 + K + 1 : 2 + 2 * (K + 1)]), unknown, scale)
+    return Katz(ngrams, histories, keys, hot, hot_counts, tokens, stat[1] + int((hot_counts > 0).sum()), dw, good_turing(stat[2 + K + 1 : 2 + 2 * (K + 1)]), unknown, scale)
 
 
-def _with_sums(pairs: DataFrame, buckets: int, hot: np.ndarray, hot_counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
+def _with_sums(pairs: DataFrame, keys: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """The tables of the model: histories' sums over all buckets, at the history's own bucket and at each that has it."""
     row = "kind string, bucket long, part long, data binary"
     kinds = ["kind", "bucket", "part", "data"]
+    buckets = len(keys)
 
     def sent(batches):
         import pyarrow as pa
@@ -350,7 +414,7 @@ def _with_sums(pairs: DataFrame, buckets: int, hot: np.ndarray, hot_counts: np.n
                 b.word_count[at[at >= 0]] = hot_counts[at >= 0]
                 parts, home = _parts(b), (b.histories % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(home, kind="stable")
-                found = [(to, _pack(b.histories[order[s]], *map(_small, parts[:, order[s]]))) for to, s in _slices(home[order])]
+                found = [(keys[to], _pack(b.histories[order[s]], *map(_small, parts[:, order[s]]))) for to, s in _slices(home[order])]
                 yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(found), pa.int64()), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "part", "data"])
 
     def whole(table):
@@ -376,7 +440,7 @@ def _with_sums(pairs: DataFrame, buckets: int, hot: np.ndarray, hot_counts: np.n
         b = _Bucket.read(data)
         home = (b.histories % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(home, kind="stable")
-        places = {to: order[s] for to, s in _slices(home[order])}
+        places = {int(keys[to]): order[s] for to, s in _slices(home[order])}
         sums = np.zeros((PARTS, len(b.histories)), np.uint64)
         for part, x in zip(right.column("part").to_pylist(), right.column("data").to_pylist(), strict=True):
             for i, v in enumerate(_unpack(x)):
@@ -384,8 +448,8 @@ def _with_sums(pairs: DataFrame, buckets: int, hot: np.ndarray, hot_counts: np.n
         return pa.table({"bucket": left.column("bucket"), "data": left.column("data"), "sums": pa.array([_pack(*map(_small, sums))], pa.binary())})
 
     parts = pairs.select("bucket", "data").mapInArrow(sent, "bucket long, part long, data binary")
-    back = stored(parts.groupBy("part").applyInArrow(whole, row), "katz-sums", "kind")
-    histories = stored_buckets(back.where("kind = 'own'").select("bucket", "data"), "katz-histories", "bucket", buckets)
+    back = stored(parts.repartition(buckets, "part").groupBy("part").applyInArrow(whole, row), "katz-sums", "kind")
+    histories = stored_buckets(back.where("kind = 'own'").select("bucket", "data").repartition(buckets, "bucket"), "katz-histories", "bucket", buckets)
     sums = back.where("kind = 'sums'").select("bucket", "part", "data")
     ngrams = pairs.select("bucket", "data").groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(put, "bucket long, data binary, sums binary")
     ngrams = stored_buckets(ngrams, "katz-ngrams", "bucket", buckets)
@@ -400,7 +464,7 @@ def score(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str =
     null id counts as not held out; rows that repeat an id are scored each. An empty table gives no rows; other columns
     are ignored.
     """
-    fixed = {k: v for k, v in vars(model).items() if k not in ("ngrams", "histories")}
+    keys, fixed = model.keys, {k: v for k, v in vars(model).items() if k not in ("ngrams", "histories")}
     columns = "row long, doc long, held_out boolean, n long, known long, base double, score double, part long, data binary"
     names = ["row", "doc", "held_out", "n", "known", "base", "score", "part", "data"]
 
@@ -408,42 +472,26 @@ def score(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str =
         import pyarrow as pa
 
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary()]
-        if not left.num_rows:
-            return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
-        m = Katz(None, None, **fixed)
-        t = _Tokens([_unpack(x) for x in left.column("data").to_pylist()])
-        if right.num_rows:
-            b = _Bucket.read(right.column("data")[0].as_py())
-            total, alpha = m.weights(_unpack(right.column("sums")[0].as_py()))
-        else:
-            none = np.empty(0, np.int64)
-            b, total, alpha = _Bucket(none.view(np.uint64), none, none.view(np.uint64), none, none, none), np.empty(0), np.empty(0)
-        word, history = _where(b.words, t.words), _where(b.histories, t.histories)
-        cw = np.where(word >= 0, b.word_count[word].astype(np.int64), 0) if len(b.words) else np.zeros(len(t.words), np.int64)
-        at = _where(t.words, m.hot)
-        cw[at[at >= 0]] = m.hot_counts[at >= 0]
-        pw = np.log10(m.word_prob(cw))
-        # The recursion: the pair's own estimate where it was seen, else the history's weight and the word's estimate.
-        w, h = word[t.pair_word], history[t.pair_history]
-        key = (b.pair_word.astype(np.int64) << 32) | b.pair_history
-        pair = _where(key, np.where((w >= 0) & (h >= 0), (w << 32) | h, -1))
-        c = np.where(pair >= 0, b.count[pair].astype(np.int64), 0) if len(key) else np.zeros(len(pair), np.int64)
-        d = np.array([0.0, *m.pair_discounts])
-        seen = np.log10(np.where(c <= K, d[np.minimum(c, K)], 1.0) * c, where=c > 0, out=np.zeros(len(c)))
-        seen -= total[h] if len(total) else 0
-        backoff = pw[t.pair_word] + (np.where(h >= 0, alpha[h], 0.0) if len(alpha) else 0.0)
-        value = np.where(c > 0, seen, backoff)
-        n = len(t.row)
-        token_word = t.pair_word[t.pair]
-        sums = [np.bincount(t.d, minlength=n), np.bincount(t.d, weights=(cw > 0)[token_word], minlength=n).astype(np.int64), np.bincount(t.d, weights=np.log10(cw + 0.1)[token_word], minlength=n), np.bincount(t.d, weights=value[t.pair], minlength=n)]
+        known = _Known(Katz(None, None, **fixed), *(right.column(x)[0].as_py() if right.num_rows else None for x in ("data", "sums")))
+        texts, away = [[np.empty(0, k.to_pandas_dtype())] for k in kinds[:7]], []
+        for x in left.column("data"):  # one batch's tokens after the other
+            found, lost = known.evaluated(_unpack(x.as_py()))
+            for column, values in zip(texts, found, strict=True):
+                column.append(values)
+            away.append(lost)
+        del known
         # Histories that this bucket doesn't know: their weight comes from their own bucket.
-        away = np.flatnonzero((h < 0)[t.pair])
-        asked = t.histories[t.pair_history[t.pair[away]]]
-        home = (asked % np.uint64(m.buckets)).astype(np.int64)
+        asked, row = (np.concatenate([x[i] for x in away]) if away else np.empty(0, np.int64) for i in (0, 1))
+        home = (asked % np.uint64(len(keys))).astype(np.int64)
         order = np.argsort(home, kind="stable")
-        blobs = [(to, _pack(asked[order[s]], t.row[t.d[away[order[s]]]])) for to, s in _slices(home[order])]
-        table = [[*x, *([None] * len(blobs))] for x in (t.row, t.doc, t.held_out, *sums)] + [[None] * n + [x for x, _ in blobs], [None] * n + [x for _, x in blobs]]
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(table, kinds, strict=True)], names=names)
+        blobs = [(keys[to], _pack(asked[order[s]], row[order[s]])) for to, s in _slices(home[order])]
+        arrays = [pa.array(np.concatenate(x), k) for x, k in zip(texts, kinds, strict=False)]
+        del texts, away
+        give_back()
+        n = len(arrays[0])
+        own = pa.Table.from_arrays([*arrays, *(pa.nulls(n, k) for k in kinds[7:])], names=names)
+        rest = pa.Table.from_arrays([*(pa.nulls(len(blobs), k) for k in kinds[:7]), pa.array([x for x, _ in blobs], kinds[7]), pa.array([x for _, x in blobs], kinds[8])], names=names)
+        return pa.concat_tables([own, rest])
 
     def weigh(left, right):
         import pyarrow as pa
@@ -458,8 +506,9 @@ def score(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str =
         rows, back = np.unique(row[at >= 0], return_inverse=True)
         return pa.table({"row": rows, "score": np.bincount(back, weights=alpha[at[at >= 0]], minlength=len(rows))})
 
-    blobs = _token_blobs(docs, model.buckets, model.hot, id_col, text_col)
-    found = stored(blobs.groupBy("bucket").cogroup(model.ngrams.groupBy("bucket")).applyInArrow(evaluate, columns), "katz-scores")
+    blobs = _token_blobs(docs, keys, model.hot, id_col, text_col)
+    with _small_batches(docs.sparkSession):
+        found = stored(blobs.groupBy("bucket").cogroup(model.ngrams.groupBy("bucket")).applyInArrow(evaluate, columns), "katz-scores")
     asked = found.where("part is not null").select(F.col("part").alias("bucket"), "data")
     weights = asked.groupBy("bucket").cogroup(model.histories.groupBy("bucket")).applyInArrow(weigh, "row long, score double")
     own = found.where("row is not null").select("row", "doc", "held_out", "n", "known", "base", "score")
@@ -472,23 +521,41 @@ def score(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str =
     )
 
 
-class _Tokens:
-    """The tokens of a bucket: hashes of words and histories, sorted; different pairs; the pair and the text of each token; the texts."""
-
-    def __init__(self, parts: list[tuple]):
-        self.words, ws = _joined(parts, 0)
-        self.histories, hs = _joined(parts, 2)
-        self.row, self.doc, self.held_out = (np.concatenate([p[i] for p in parts]) for i in (4, 5, 6))
-        ends = np.cumsum([len(p[4]) for p in parts])
-        self.d = np.concatenate([p[7].astype(np.int32) + np.int32(end - len(p[4])) for p, end in zip(parts, ends, strict=True)])
-        key = np.concatenate([(np.repeat(w, p[1]).astype(np.int64) << 32) | h[p[3]] for p, w, h in zip(parts, ws, hs, strict=True)])
-        parts.clear()
-        order = np.argsort(key)
-        key = key[order]
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.pair_word, self.pair_history = (key[first] >> 32).astype(np.int32), (key[first] & 0xFFFFFFFF).astype(np.int32)
-        self.pair = np.empty(len(order), np.int32)
-        self.pair[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(order))))
+class _Known:
+    """What a bucket knows of the model, to be asked about the tokens of one batch of texts after the other."""
+
+    def __init__(self, model: Katz, data: bytes | None, sums: bytes | None):
+        none = np.empty(0, np.int64)
+        self.model = model
+        self.bucket = b = _Bucket.read(data) if data else _Bucket(none.view(np.uint64), none, none.view(np.uint64), none, none, none)
+        self.total, self.alpha = model.weights(_unpack(sums)) if data else (np.empty(0), np.empty(0))
+        self.key = (b.pair_word.astype(np.int64) << 32) | b.pair_history
+        b.pair_word = b.pair_history = none
+
+    def evaluated(self, part: tuple) -> tuple[tuple, tuple]:
+        """Of _token_blobs(): the texts' row, doc, held_out, and their sums here: n, known, base, score; hashes of the histories that aren't known here, and the row of each."""
+        words, times, histories, hx, row, doc, held_out, d = part
+        m, b = self.model, self.bucket
+        word, history = _where(b.words, words), _where(b.histories, histories)
+        cw = np.where(word >= 0, b.word_count[word].astype(np.int64), 0) if len(b.words) else np.zeros(len(words), np.int64)
+        at = _where(words, m.hot)
+        cw[at[at >= 0]] = m.hot_counts[at >= 0]
+        pw = np.log10(m.word_prob(cw))
+        # The recursion: the pair's own estimate where it was seen, else the history's weight and the word's estimate.
+        token_word = np.repeat(np.arange(len(words)), times)
+        first = np.flatnonzero((np.diff(token_word, prepend=-1) != 0) | (np.diff(hx.astype(np.int64), prepend=-1) != 0))
+        w, h = word[token_word[first]], history[hx[first]]
+        pair = _where(self.key, np.where((w >= 0) & (h >= 0), (w << 32) | h, -1))
+        c = np.where(pair >= 0, b.count[pair].astype(np.int64), 0) if len(self.key) else np.zeros(len(pair), np.int64)
+        by_count = np.array([0.0, *m.pair_discounts])
+        seen = np.log10(np.where(c <= K, by_count[np.minimum(c, K)], 1.0) * c, where=c > 0, out=np.zeros(len(c)))
+        seen -= self.total[h] if len(self.total) else 0
+        backoff = pw[token_word[first]] + (np.where(h >= 0, self.alpha[h], 0.0) if len(self.alpha) else 0.0)
+        value = np.repeat(np.where(c > 0, seen, backoff), np.diff(np.append(first, len(hx))))
+        n = len(row)
+        sums = np.bincount(d, minlength=n), np.bincount(d, weights=(cw > 0)[token_word], minlength=n).astype(np.int64), np.bincount(d, weights=np.log10(cw + 0.1)[token_word], minlength=n), np.bincount(d, weights=value, minlength=n)
+        away = np.flatnonzero((history < 0)[hx])
+        return (row, doc, held_out, *sums), (histories[hx[away]], row[d[away]])
 
 
 def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
