@@ -41,7 +41,7 @@ K = 5
 #: Tokens of a bucket, about, and the fewest buckets; bytes that a token takes in a text, about.
 BUCKET_TOKENS, LEAST_BUCKETS, TOKEN_BYTES = 5_000_000, 24, 6
 #: Tokens that a map task packs at once; bytes that Spark and Python hand to each other at once, about; pairs that a bucket adds up at once, about.
-BATCH_TOKENS, SENT_BYTES, ADDED_PAIRS = 1_500_000, 4 << 20, 500_000
+BATCH_TOKENS, SENT_BYTES, ADDED_PAIRS = 4_500_000, 4 << 20, 500_000
 #: Rows, about, spread over the whole table, that are read to find words of a large share; they only steer how work is spread. A word with
 #: HOT_SHARE of a bucket's share of the corpus is spread.
 HOT_ROWS, HOT_SHARE = 4_000, 1 / 8
